@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import prepare, written
 
 MAX_EPOCHS = 3
 WEIGHTS = (5, 2, 1)
@@ -55,6 +55,7 @@ def targets(per_source: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[
 
 def epochs(docs: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS, seed: int = SEED) -> DataFrame:
     """(doc_id, source, size, h, source_size, target, times): how often the mix takes each document."""
+    prepare(docs.sparkSession)
     rows = written(sizes(docs, seed), "sizes").withColumn("range", F.conv(F.substring("h", 1, DIGITS), 16, 10).cast("int"))
     per_range = written(rows.groupBy("source", "range").agg(F.sum("size").alias("in_range")), "ranges")
     goal = targets(per_range.groupBy("source").agg(F.sum("in_range").alias("source_size")), max_epochs, weights)

@@ -41,8 +41,10 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size to ARROW_ROWS; leaves smaller settings alone."""
+def prepare(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to ARROW_ROWS and leaves smaller settings alone; keeps unions
+    from claiming a partitioning, which Spark 4.1 gets wrong when AQE has coalesced one side."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
@@ -63,6 +65,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
     shared folder, so no task holds a component. Nodes without an edge are absent; nulls are ignored.
     """
     spark = edges.sparkSession
+    prepare(spark)
     both = lambda d: d.select(F.col("u"), F.col("v")).unionByName(d.select(F.col("v").alias("u"), F.col("u").alias("v")))
     cur = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "edges")
     last = None

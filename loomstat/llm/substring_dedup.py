@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .shared import delete_path, fresh_path, shuffle_parts, small_batches, written
+from .shared import delete_path, fresh_path, shuffle_parts, prepare, written
 
 WINDOW = 35
 GRAM = 8
@@ -72,7 +72,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(kd, tk, first, n, h, c): for each anchor of each document its windows, from word first on, and its hashes."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
