@@ -28,11 +28,15 @@ DIGITS = 3
 WORDS = "[^\\x20\\x09-\\x0D]+"
 
 
+def order_of(seed: int = SEED) -> Column:
+    """The hash of doc_id and text that orders the documents of a source."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}:"), F.md5(F.coalesce("text", F.lit("")))))
+
+
 def sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, h): the hash h orders the documents of a source."""
-    text = F.coalesce("text", F.lit(""))
-    key = F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}:"), F.md5(text))
-    return docs.select("doc_id", "source", F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"), F.md5(key).alias("h"))
+    """(doc_id, source, size, h) with the order h."""
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)).cast("long")
+    return docs.select("doc_id", "source", size.alias("size"), order_of(seed).alias("h"))
 
 
 def targets(per_source: DataFrame, max_epochs: int = MAX_EPOCHS, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
