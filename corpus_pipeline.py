@@ -24,18 +24,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates: the smallest doc_id, with the smallest text hash. Documents without words stay."""
-    found = ngram_join.jaccard_join(docs).withColumn("kd", F.coalesce("doc_id", F.lit(-(2**63))))
-    found = written(found.withColumn("alone", F.col("n_links") == 0), "classes")
-    # An id may stand for several classes only if docs has rows of one id with different texts.
-    first = found.where("NOT alone").groupBy("class_id").agg(F.min(F.struct("kd", "tk")).alias("k"))
-    first = first.select("k.kd", "k.tk").distinct().withColumn("keep", F.lit(True))
-    go = found.where("NOT alone").select("kd", "tk").distinct().join(first, ["kd", "tk"], "left")
-    rows = docs.withColumns({"__kd": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__tk": F.xxhash64("text")})
-    # Equal rows are one class; the copy that stays is made from the row itself.
-    some = rows.join(go, (F.col("__kd") == F.col("kd")) & (F.col("__tk") == F.col("tk")), "left").where("kd IS NULL OR keep")
-    once, many = some.where("kd IS NULL"), some.where("keep")
-    return once.select(*docs.columns).unionByName(many.dropDuplicates(["__kd", "__tk"]).select(*docs.columns))
+    """One document of each class of near duplicates: the smallest doc_id, with the smallest text hash. Documents without links stay."""
+    found = ngram_join.jaccard_join(docs).where("n_links > 0").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__kd"), F.col("tk").alias("__tk"), "class_key")
+    found = written(found.distinct(), "classes")
+    first = found.groupBy("class_key").agg(F.min(F.struct("__kd", "__tk")).alias("k")).select("k.*", F.lit(True).alias("__keep"))
+    linked = found.select("__kd", "__tk").join(first, ["__kd", "__tk"], "left").select("__kd", "__tk", F.coalesce("__keep", F.lit(False)).alias("__keep"))
+    keyed = docs.withColumns({"__kd": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__tk": F.xxhash64("text")})
+    rows = keyed.join(linked, ["__kd", "__tk"], "left")
+    # Rows of one id and text are copies of each other; of those that are first in their class one stays.
+    once = rows.where("__keep IS NULL").select(*docs.columns)
+    return once.unionByName(rows.where("__keep").dropDuplicates(["__kd", "__tk"]).select(*docs.columns))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -243,10 +243,11 @@ def _exact(sets: DataFrame, threshold: tuple[int, int], parts: int, block: int)
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRESHOLD, recall: float = RECALL, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """(doc_id, tk, class_id, n_links) for each row of docs.
+    """(doc_id, tk, class_id, n_links, class_key) for each row of docs.
 
     n_links is the number of other documents whose sets have a Jaccard similarity of the threshold or
-    more, copies included; a class is a connected component of these links. tk is xxhash64(text).
+    more, copies included; a class is a connected component of these links. tk is xxhash64(text), and
+    class_key tells classes apart whatever their ids are; it is null for a document without words.
     """
     parts = shuffle_parts(docs.sparkSession)
     at = threshold[0] / threshold[1]
@@ -263,10 +264,10 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRES
     links = exact.groupBy("sig").agg(F.sum("links").alias("links"))
     by_node = nodes.select("sig", "copies", "least_id").join(classes, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     ids = by_node.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    by_node = by_node.join(ids, "root").join(links, "sig", "left").select("sig", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    by_node = by_node.join(ids, "root").join(links, "sig", "left").select("sig", "class_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.col("root").alias("class_key"))
     rows = sigs.select("doc_id", "tk", F.when(F.col("n_grams") > 0, F.col("sig")).alias("sig"))
-    none = rows.where("sig is null").select("doc_id", "tk", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
-    return rows.where("sig is not null").join(by_node, "sig").select("doc_id", "tk", "class_id", "n_links").unionByName(none)
+    none = rows.where("sig is null").select("doc_id", "tk", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("binary").alias("class_key"))
+    return rows.where("sig is not null").join(by_node, "sig").select("doc_id", "tk", "class_id", "n_links", "class_key").unionByName(none)
 
 
 def brute_force(rows: list[tuple[int | None, str | None]], n: int = N) -> list[tuple]:

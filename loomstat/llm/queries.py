@@ -27,7 +27,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).drop("tk")
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents")).drop("tk", "class_key")
 
 
 def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,10 @@ def test_stages_one_by_one(spark, sf):
     columns, stages = docs.columns, dict(cp.STAGES)
     assert [*stages] == ["quality", "ngram_join", "decontaminate", "mixing", "tokens"]
 
-    good = stages["quality"](spark, docs, sf).cache()
+    more = sf.replace("0.001", "0.01")  # here are too few labels to learn from
+    good = stages["quality"](spark, spark.read.parquet(f"{more}/documents.parquet"), more)
     assert good.columns == columns
-    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{more}/labels.parquet").collect()}
     kept = {r.doc_id for r in good.collect()}
     assert sum(labels.get(d) == 1 for d in kept) >= 0.97 * sum(q == 1 for q in labels.values())
     assert sum(labels.get(d) == 0 for d in kept) <= 0.3 * sum(q == 0 for q in labels.values())
@@ -41,7 +42,7 @@ def test_nulls_repeats_and_other_columns(spark, sf):
     stages = dict(cp.STAGES)
     out = stages["ngram_join"](spark, docs, sf)
     assert out.columns == docs.columns
-    assert Counter(r.doc_id for r in out.collect()) == {None: 2, 3: 2, 4: 1} or Counter(r.doc_id for r in out.collect()) == {1: 1, None: 1, 3: 2, 4: 1}
+    assert Counter(r.doc_id for r in out.collect()) == {None: 2, 3: 2, 4: 1}
     for name in ("ngram_join", "decontaminate", "mixing"):
         assert stages[name](spark, docs.limit(0), sf).count() == 0
     mixed = Counter(r.doc_id for r in stages["mixing"](spark, docs, sf).collect())
