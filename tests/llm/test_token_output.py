@@ -1,12 +1,13 @@
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from loomstat.llm import token_output as op
 from loomstat.llm.shared import fresh_path
 
-ODD = ["", None, " ", "a  b\n\n c\t\td ", "it's we'll I'VE don't", "x_y __ _1_ 12ab 3.14 ², ½ Ⅷ", "<|endoftext|> hi<|endoftext|>", "naïve Ünïcode ñandú été ß", "日本語 テキスト", "é ​ \xa0 \x1c\x85 end", "\r\n\x0b\x0c", "🙂🙂 👩‍👩‍👧", "«quoted» — “so” …", "  lead", "trail  ", "a" * 5000, "!!!???  ###"]
+ODD = ["", None, " ", "a  b\n\n c\t\td ", "it's we'll I'VE don't", "x_y __ _1_ 12ab 3.14 ², ½ Ⅷ", "<|endoftext|> hi<|endoftext|>", "naïve Ünïcode ñandú été ß", "日本語 テキスト", "é ​ \xa0 \x1c\x85 end", "\r\n\x0b\x0c", "🙂🙂 👩‍👩‍👧", "«quoted» — “so” …", "  lead", "trail  ", "one ", " \n x", "a\n \nb", "a \tb", "a\n b", "a\n\n b\n", "it 's 'S n't", "a" * 5000, "!!!???  ###"]
 
 
 def test_matches_the_library(spark):
@@ -27,7 +28,9 @@ def test_whole_table(spark, sf):
 def test_words_give_what_the_whole_text_gives(text):
     with open(op.default_path(), encoding="utf-8") as f:
         e = op.encoder(f.read())
-    assert e(text) == e.whole(text)
+    texts = [text, text + " a", "", None, f"a {text}\n{text}"]
+    ids, off = e(pa.array(texts, pa.string()))
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [e.whole(t or "").tolist() for t in texts]
 
 
 def test_repeated_null_and_no_rows(spark):
@@ -48,4 +51,4 @@ def test_files_have_bloom_filters_and_prune(spark):
     assert back.where("doc_id = 77").count() == 1
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,77)" in spark.read.orc(path).where("doc_id = 77")._jdf.queryExecution().executedPlan().toString()
     for p in Path(path.removeprefix("file:")).glob("*.orc"):
-        assert orc.ORCFile(p).schema.names == ["doc_id", "part", "start_in_part", "ids"]
+        assert orc.ORCFile(p).schema.names == ["doc_id", "part", "start_in_part", "n_tokens", "ids"]
