@@ -208,6 +208,19 @@ def digest(docs: DataFrame, **how: int) -> DataFrame:
     return remove_repeats(docs, **how).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: digest(documents) from a table of all windows.
+ORACLE_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT r, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM d WHERE len(w) >= {WINDOW}),
+k AS (SELECT s.r, i, md5(array_to_string(w[i : i + {WINDOW - 1}], ' ')) AS k FROM s JOIN d USING (r)),
+again AS (SELECT r, i FROM k QUALIFY count(*) OVER (PARTITION BY k) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {WINDOW})) AS i FROM again),
+per AS (SELECT r, list(i) AS at, count(*) AS n FROM gone GROUP BY r),
+kept AS (SELECT d.r, list(word ORDER BY i) AS w FROM (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM d) d ANTI JOIN gone USING (r, i) GROUP BY d.r)
+SELECT doc_id, len(d.w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(array_to_string(kept.w, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN per USING (r) LEFT JOIN kept USING (r)"""
+
+
 def brute_force(texts: list[tuple[int | None, str | None]], window: int = WINDOW) -> list[tuple]:
     """What digest gives, from a table of all windows; for tests."""
     split = [(d, (t or "").encode().split()) for d, t in texts]
