@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, html_text, mixing, ngram_join, quality, substring_dedup, token_output, url_filter
+from . import ann, decontaminate, html_text, licenses, mixing, ngram_join, quality, substring_dedup, token_output, url_filter
 from .shared import table
 
 
@@ -28,6 +28,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.evaluate(url_filter.captures_of(pages), url_filter.demo_list(pages))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(licenses.files_of(table(spark, sf_dir, "documents"))).drop("text")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
