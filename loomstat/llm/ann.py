@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a hashed sample of at most ``SAMPLE`` vectors the driver links each to its nearest neighbours, cuts that
-graph into parts of nearly equal size (balanced means first, then moves along edges within the capacity),
+On a hashed sample of about ``SAMPLE`` vectors the driver links each to its nearest neighbours, cuts that
+graph into parts of nearly equal size, about ``PART_SAMPLE`` of the sample in each (balanced means first, then moves along edges within the capacity),
 and trains a small network to tell which parts a vector's neighbours are in. The network puts every vector
 of the table in its most probable part, and sends a query to its most probable parts, as many as keep the
 recall on the sample above ``RECALL``. There all vectors are compared, in tiles of bounded size, so a part
@@ -27,8 +27,7 @@ from .tiles import packs
 
 K = 20
 SAMPLE = 6000
-PART_ROWS = 1500
-MOST_PARTS = 64
+PART_SAMPLE = 200
 RECALL = 0.96
 LINKS = 12
 TILE_ROWS = 4096
@@ -118,7 +117,6 @@ class Router:
 
 def fit(sample: np.ndarray, parts: int, k: int = K, recall: float = RECALL) -> tuple[Router | None, int]:
     """The router and the number of parts that a query has to see."""
-    parts = min(parts, max(1, len(sample) // 40))
     if parts < 2:
         return None, 1
     near = _nearest(sample, min(LINKS, len(sample) - 1))
@@ -164,7 +162,7 @@ def _top(q: np.ndarray, c: np.ndarray, q_id: np.ndarray, c_id: np.ndarray, k: in
     return tuple(np.concatenate(x) for x in (ids, others, scores))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, part_rows: int = PART_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, part_sample: int = PART_SAMPLE, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that queries (a condition on id_col) picks."""
     spark = vectors.sparkSession
     prepare(spark)
@@ -176,7 +174,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_i
     rows = rows.where(F.size("v") == length)
     share = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / n))
     fitted = rows.where(share).select("vec_id", "v").toArrow().sort_by("vec_id")
-    router, probes = fit(_vectors(fitted.column("v").combine_chunks(), length), min(MOST_PARTS, max(1, n // part_rows)), k)
+    router, probes = fit(_vectors(fitted.column("v").combine_chunks(), length), fitted.num_rows // part_sample, k)
 
     def route(depth: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +194,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_i
     def blocks(t: DataFrame, name: str) -> DataFrame:
         return t.groupBy("part").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias(name))
 
-    # One row for each part, MOST_PARTS at most.
+    # One row for each part: sample / part_sample at most.
     shape = F.broadcast(blocks(index, "c_blocks").join(blocks(asked, "q_blocks"), "part"))
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
