@@ -57,15 +57,16 @@ def missing_outputs(spark: SparkSession, inputs: str, outputs: str, ending: str)
     from .image import list_files
 
     stem = F.lower(F.regexp_extract("path", r"([^/]+?)(\.nii)?(\.gz)?$", 1))
-    have = spark.read.format("binaryFile").load(outputs).select(F.regexp_extract("path", "([^/]+)$", 1).alias("output")) if _any(spark, outputs) else spark.createDataFrame([], "output string")
+    have = spark.createDataFrame([(n,) for n in _names(spark, outputs)], "output string")
     want = spark.createDataFrame([(p,) for p in list_files(inputs, ("",))], "path string").withColumn("output", F.concat(stem, F.lit(ending)))
     return want.join(have, "output", "left_anti").select("path", "output")
 
 
-def _any(spark: SparkSession, path: str) -> bool:
+def _names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in a folder, empty ones too; none if there is no folder."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    return fs.exists(p) and len(fs.listStatus(p)) > 0
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def seed_edges(tables: list[DataFrame], seeds: list[tuple[int, int, int]], value: str = "value") -> DataFrame:
