@@ -270,6 +270,20 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: tuple[int, int] = THRES
     return rows.where("sig is not null").join(by_node, "sig").select("doc_id", "tk", "class_id", "n_links", "class_key").unionByName(none)
 
 
+#: jaccard_join(documents), without its keys, from all shared n-word sequences.
+ORACLE_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {N} THEN [array_to_string(w, ' ')]
+                                ELSE list_transform(range(1, len(w) - {N - 2}), lambda i: array_to_string(w[i : i + {N - 1}], ' ')) END) AS s FROM d),
+n AS (SELECT r, count(*) AS n FROM g GROUP BY r),
+near AS (SELECT a.r AS a, b.r AS b FROM (SELECT x.r AS a, y.r AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.r <> y.r GROUP BY ALL) p
+         JOIN n a ON a.r = p.a JOIN n b ON b.r = p.b WHERE {sum(THRESHOLD)} * c >= {THRESHOLD[0]} * (a.n + b.n)),
+walk AS (SELECT r, r AS root FROM d UNION SELECT near.b, walk.root FROM walk JOIN near ON walk.r = near.a),
+class AS (SELECT r, min(root) AS root FROM walk GROUP BY r)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY root) AS class_id, coalesce(links, 0) AS n_links
+FROM d JOIN class USING (r) LEFT JOIN (SELECT a AS r, count(*) AS links FROM near GROUP BY a) USING (r)"""
+
+
 def brute_force(rows: list[tuple[int | None, str | None]], n: int = N) -> list[tuple]:
     """What jaccard_join gives, without tk, from all pairs; for tests."""
     sets = []

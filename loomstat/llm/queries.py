@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.ORACLE_SQL, "op3_substring_dedup": substring_dedup.ORACLE_SQL, "op4_url_filter": url_filter.ORACLE_SQL}
+    return {"op1_mixing": mixing.ORACLE_SQL, "op3_substring_dedup": substring_dedup.ORACLE_SQL, "op4_url_filter": url_filter.ORACLE_SQL, "op9_ngram_join": ngram_join.ORACLE_SQL}
