@@ -32,7 +32,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, survives lost executors and is read by columns."""
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no later plan reads."""
+    for t in tables:
+        delete_path(t.sparkSession, t._written_to)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -79,6 +87,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 5
         new = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
         # Each edge now points down; the forest is flat once no target has an edge of its own.
         now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(cur)
         cur = new
         if tuple(now) == last:
             break

@@ -69,3 +69,25 @@ def test_nulls_repeats_and_long_pages(spark):
     assert got[:2] == [(0, 0), (1, 0)] and got[2] == got[3] and got[2][1] == 20000 * (len("Some words that make a line of text.") + 1) - 1
     assert len(got) == 5
     assert op.extract(df.limit(0)).count() == 0
+
+
+def test_layouts_that_were_not_trained_on():
+    import random
+
+    one, two = "Some longer paragraph of the story, which tells what happened, and why it did so.", "Another paragraph follows here with more words and a second sentence. It ends."
+    junk = [
+        '<div class="cookie-banner"><p>We use cookies to improve your experience. Accept all.</p></div>', '<div id="menu"><a href=/>Home</a> <a href=/a>About us</a></div>',
+        '<div class="col-right sidebar"><h3>Related</h3><ul><li><a href=x>One two three</a></li></ul><p>Read more about this topic here.</p></div>',
+        '<section id="comments"><h2>3 comments</h2><ol class="commentlist"><li><p>I think this is a very good article and I liked it a lot, thank you.</p></li></ol></section>',
+        '<div class="footer">Copyright 2024 Example Corp. All rights reserved.</div>', '<div class="newsletter-signup"><form><label>Email</label><input></form><p>Subscribe to our newsletter today.</p></div>',
+        '<div class="ad-slot">Buy now the best product of the year, cheap.</div>', "<header><h2>Site name</h2><nav><ul><li><a href=1>A</a><li><a href=2>B</a></ul></nav></header>",
+        "<footer><p>Contact us at our office. Terms apply.</p></footer>", '<div class="notice">This site will be down on Sunday.</div>', "<aside><h3>Popular</h3><p>Ten things you should know about it.</p></aside>",
+    ]
+    text = f"<h1>Head line</h1><p>{one}</p><p>{two}</p>"
+    bodies = [f"<article>{text}</article>", f"<main>{text}</main>", f'<div id="content">{text}</div>', f'<div class="c12">{text}</div>', text, f"<table><tr><td>{text}</td></tr></table>", f'<div class="wrap"><div class="row"><div class="entry">{text}<ul><li>First point made</li></ul></div></div></div>']
+    rnd, right = random.Random(1), []
+    for body in bodies * 20:
+        some = rnd.sample(junk, 5)
+        page = f"<html><head><title>T</title></head><body>{''.join(some[:2])}{body}{''.join(some[2:])}</body></html>"
+        right.append(op.texts([page], op.default_model())[0] == "\n".join(t for _, t, _ in op.Tree(body).lines))
+    assert np.mean(right) > 0.95
