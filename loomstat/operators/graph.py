@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import plain_unions, written
+from ..tables import discard, plain_unions, written
 
 
 #: Edges that the driver may hold.
@@ -53,7 +53,8 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60, local:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        cur = written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        old, cur = cur, written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(old)
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             break

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import to_voxel
-from ..tables import numbered, plain_unions, written
+from ..tables import discard, numbered, plain_unions, written
 from .graph import components
 
 
@@ -141,7 +141,8 @@ def prune_isolated(edges: DataFrame, d: float = 1.0, label: str = "network", max
     cur, n = written(edges, "prune"), edges.count()
     for _ in range(max_rounds):
         bad = _lonely(endpoints(cur, label), d, [label]).where("NOT near").select("edge_id").distinct()
-        cur = written(cur.join(bad, "edge_id", "left_anti"), "prune")
+        old, cur = cur, written(cur.join(bad, "edge_id", "left_anti"), "prune")
+        discard(old)
         if (left := cur.count()) == n:
             break
         n = left

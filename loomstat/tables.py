@@ -22,7 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str = "step") -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Deletes a written table that no later plan reads."""
+    spark = table.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def plain_unions(spark: SparkSession) -> None:
