@@ -8,7 +8,7 @@ repeated, and those under equal contexts are. Only windows between the two cases
 The index holds a row for each anchor: its count, one context, and whether contexts differ. A batch
 becomes a run, a table bucketed and sorted by anchor that is never changed; runs merge-join without a
 shuffle, both to find what a batch repeats and to compact two runs into a new one. Candidates are
-verified by two 64-bit hashes of the whole window.
+verified by 96 bits of two hashes of the whole window.
 
 Null and empty texts have no words. Rows that are equal in doc_id and text count as two documents, so
 their windows repeat each other. Other columns of the input are ignored.
@@ -138,7 +138,7 @@ class FingerprintIndex:
 
 
 def _windows(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
-    """Both hashes (w1, w2) of each window in found (kd, tk, first, n)."""
+    """Two hashes (w1, and half of w2) of each window in found (kd, tk, first, n)."""
     lists = found.groupBy("kd", "tk").agg(F.collect_set(F.struct("first", "n")).alias("at"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,10 +156,11 @@ def _windows(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
                 row, k = np.repeat(row, n[part]), n[part]
                 s = np.repeat(first[part], k) + np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
                 at_word = s + ptr[row - i]
-                w = [tc.span_hash(tc.sums(words, base), at_word, at_word + window, base).view(np.int64) for base in tc.BASES[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kd[row], tk[row], s.astype(np.int32), *w)], ["kd", "tk", "first", "w1", "w2"])
+                w1, w2 = (tc.span_hash(tc.sums(words, base), at_word, at_word + window, base) for base in tc.BASES[1:])
+                w2 = (w2 >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (kd[row], tk[row], s.astype(np.int32), w1.view(np.int64), w2)], ["kd", "tk", "first", "w1", "w2"])
 
-    return _keyed(docs).join(lists, ["kd", "tk"]).select("kd", "tk", "text", "at").mapInArrow(run, "kd long, tk long, first int, w1 long, w2 long")
+    return _keyed(docs).join(lists, ["kd", "tk"]).select("kd", "tk", "text", "at").mapInArrow(run, "kd long, tk long, first int, w1 long, w2 int")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2) -> DataFrame:
