@@ -39,7 +39,8 @@ LEAST = 8
 COSINE = 0.42
 LCS = 0.7
 ANSWER = 0.6
-SEED = 41
+#: Bytes of benchmark that may go to every task.
+MOST_BYTES = 64 << 20
 #: Bytes of text handled at a time; a word takes a row of the space.
 SMALL_CHUNK = 1 << 16
 
@@ -85,7 +86,10 @@ class Space:
 
 
 def spaces(benchmark: DataFrame) -> list[Space]:
-    """The benchmark is read to the driver, as all of it goes to every task in any case."""
+    """The benchmark is read to the driver, as all of it goes to every task; beyond MOST_BYTES it raises, and is to be given in parts."""
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > MOST_BYTES:
+        raise ValueError(f"{size} bytes of benchmark are more than {MOST_BYTES}; look for its parts one after the other")
     rows = sorted(((r.item_id, r.text) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").distinct().collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
     hashed = []
     for start in range(0, len(rows), 1000):
