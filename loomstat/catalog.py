@@ -449,7 +449,9 @@ def mask_chain(spark, sf):
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY ALL")
 def status_rollup(spark, sf):
-    return X.read(spark, sf, "orders").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    from .sources import sinks
+
+    return sinks.status_rollup(X.read(spark, sf, "orders").withColumnRenamed("o_orderstatus", "status"))
 
 
 @query(X.with_("bundled") + "SELECT edge_id, bundle FROM bundled WHERE bundle IN (0, 2)")

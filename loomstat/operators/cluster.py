@@ -115,6 +115,24 @@ def tree_of(table: DataFrame) -> np.ndarray:
     return np.array([(r.left, r.right, r.height, r["size"]) for r in table.orderBy("step").collect()], float).reshape(-1, 4)
 
 
+def write_npy(table: DataFrame, path: str) -> None:
+    """The tree as a matrix of (left, right, height, size) in an .npy file."""
+    from ..sources.image import file_system
+
+    fs, p = file_system(path)
+    with fs.open_output_stream(p) as f:
+        np.lib.format.write_array(f, tree_of(table))
+
+
+def read_npy(spark, path: str) -> DataFrame:
+    from io import BytesIO
+
+    from ..sources.image import file_system, read_bytes
+
+    fs, p = file_system(path)
+    return linkage_table(spark, np.load(BytesIO(read_bytes(fs, p)), allow_pickle=False))
+
+
 def _mapped(edges: DataFrame, label: str, names: list[int], labels: np.ndarray, to: str) -> DataFrame:
     t = edges.sparkSession.createDataFrame([(int(a), int(b)) for a, b in zip(names, labels, strict=True)], f"{label} int, {to} int")
     return edges.drop(to).withColumn(label, F.col(label).cast("int")).join(F.broadcast(t), label)

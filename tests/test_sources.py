@@ -180,6 +180,20 @@ def test_parts_and_histograms(spark, tmp_path):
     assert again.exceptAll(h).count() == 0 and again.count() == h.count()
 
 
+def test_blocks_and_trees(spark, tmp_path):
+    from loomstat.operators import cluster
+
+    pairs, _ = pairs_of(spark, 10)
+    sinks.write_blocks(pairs, str(tmp_path / "b"), 4)
+    back = spark.read.parquet(str(tmp_path / "b"))
+    assert back.count() == 45 and back.where("bx = 0 AND by = 2").count() == 8 and back.where("bx > by").count() == 0
+    tree = cluster.linkage_table(spark, np.array([[0, 1, 0.5, 2], [2, 3, 1.5, 3]]))
+    cluster.write_npy(tree, str(tmp_path / "z.npy"))
+    assert np.load(tmp_path / "z.npy").shape == (2, 4) and cluster.read_npy(spark, str(tmp_path / "z.npy")).collect() == tree.collect()
+    runs = spark.createDataFrame([("a",), ("a",), ("b",)], "status string")
+    assert sorted(map(tuple, sinks.status_rollup(runs).collect())) == [("a", 2), ("b", 1)]
+
+
 def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     source, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
     schema = "pvalue double"
