@@ -13,9 +13,10 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import ship
 from . import kernels as K
 
 BIG = 9.99e37
@@ -192,6 +193,8 @@ def inverse(p: np.ndarray, q: np.ndarray, name: str, a: float = 0, b: float = 0,
 
 
 def _udf(f: Callable[[np.ndarray], np.ndarray]) -> Callable[[Column], Column]:
+    ship(SparkSession.active())
+
     @F.pandas_udf("double")
     def run(x: pd.Series) -> pd.Series:
         out, ok = np.full(len(x), np.nan), x.notna().to_numpy()
@@ -254,6 +257,7 @@ def stat2zscore(x: Column, code: int | str, p1: float = 0, p2: float = 0, p3: fl
         return (x - p1) / p2
     if name in CLOSED:
         p, q = _closed(x, name, p1, p2, p3)
+        ship(SparkSession.active())
 
         @F.pandas_udf("double")
         def both(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import edge_distances
 from .linkage import cut_tree, linkage, nth_largest
+from ..tables import ship
 from .spatial import centroids, nearest_centroid, relabel, tile_pairs
 
 MAX_EXACT = 8_000
@@ -42,6 +43,7 @@ def four_way_distance(flag: str) -> Column:
 
 def _block_minima(edges: DataFrame, label: str, inside: bool, block: int) -> DataFrame:
     """(a, b, v): per pair of labels the least (or, inside a label, the largest) of the smaller end distance, by tiles."""
+    ship(edges.sparkSession)
     dealt = edges.select("edge_id", F.col(label).cast("int").alias("l"), *(F.col(c).cast("double") for c in ENDS))
     n = max(1, -(-dealt.count() // block))
     dealt = dealt.withColumn("b", F.pmod(F.xxhash64("edge_id"), F.lit(n)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

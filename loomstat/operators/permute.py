@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import ship
+
 #: Bytes of packed labels that may go to every task.
 MOST_LABELS = 256 << 20
 BLOCK = 1024
@@ -81,6 +83,7 @@ def _sql(values: DataFrame, keys: list[str], perms: DataFrame, subjects: int, tw
 
 
 def _gemm(values: DataFrame, keys: list[str], perms: DataFrame, subjects: int, two_tailed: bool, nan: str) -> DataFrame:
+    ship(values.sparkSession)
     n = perms.count()
     if n * (-(-subjects // 8)) > MOST_LABELS:
         raise ValueError(f"{n} permutations of {subjects} subjects are more than {MOST_LABELS} bytes of labels; use method='sql'")

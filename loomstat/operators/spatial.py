@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import to_voxel
-from ..tables import discard, numbered, plain_unions, written
+from ..tables import discard, numbered, plain_unions, ship, written
 from .graph import components
 
 
@@ -201,6 +201,7 @@ def nearest_centroid(edges: DataFrame, centres: DataFrame, label: str) -> DataFr
     import numpy as np
     import pyarrow as pa
 
+    ship(edges.sparkSession)
     if (n := centres.count()) > 100_000:
         raise ValueError(f"{n} centroids are too many to send to every task")
     cols = [f"{c}{s}" for s in (1, 2) for c in "ijk"]
