@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import ship
+
 #: Rows of a batch that goes to Python; bounds a worker's memory when texts are long.
 ARROW_ROWS = 2000
 
@@ -50,8 +52,9 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Lowers the session's Arrow batch size to ARROW_ROWS and leaves smaller settings alone; keeps unions
+    """Gives the package to the executors; lowers the session's Arrow batch size to ARROW_ROWS and leaves smaller settings alone; keeps unions
     from claiming a partitioning, which Spark 4.1 gets wrong when AQE has coalesced one side."""
+    ship(spark)
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= ARROW_ROWS:
