@@ -30,6 +30,16 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def _whole(name: str) -> None:
+    f = _queries[name]
+
+    def run(spark, sf):
+        return f(spark, sf, None)
+
+    run.__name__ = f"{name}_all"
+    query()(run)
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
@@ -281,30 +291,30 @@ def distinct_voxels(spark, sf):
 
 
 @query(X.with_("iso") + "SELECT edge_id FROM iso")
-def isolation_filter(spark, sf):
-    return spatial.filter_isolated(X.edges(spark, sf)).select("edge_id")
+def isolation_filter(spark, sf, n=X.EDGES):
+    return spatial.filter_isolated(X.edges(spark, sf, n)).select("edge_id")
 
 
-def _iso(spark, sf):
-    return written(spatial.filter_isolated(X.edges(spark, sf)), "iso")
+def _iso(spark, sf, n=X.EDGES):
+    return written(spatial.filter_isolated(X.edges(spark, sf, n)), "iso")
 
 
 @query(X.with_("comp") + "SELECT i, j, k, (root // 1000000)::INT AS ri, (root // 1000 % 1000)::INT AS rj, (root % 1000)::INT AS rk FROM comp JOIN vox USING (v)")
-def voxel_components(spark, sf):
-    return spatial.voxel_components(_iso(spark, sf)).select("i", "j", "k", F.col("root.i").alias("ri"), F.col("root.j").alias("rj"), F.col("root.k").alias("rk"))
+def voxel_components(spark, sf, n=X.EDGES):
+    return spatial.voxel_components(_iso(spark, sf, n)).select("i", "j", "k", F.col("root.i").alias("ri"), F.col("root.j").alias("rj"), F.col("root.k").alias("rk"))
 
 
 @query(X.with_("iso", "ends") + """, near AS (SELECT DISTINCT x.edge_id AS a, y.edge_id AS b FROM ends x JOIN ends y ON x.edge_id <> y.edge_id AND greatest(abs(x.i - y.i), abs(x.j - y.j), abs(x.k - y.k)) <= 1),
     walk AS (SELECT edge_id AS e, edge_id AS root FROM iso UNION SELECT near.b, walk.root FROM walk JOIN near ON walk.e = near.a),
     least AS (SELECT e, min(root) AS root FROM walk GROUP BY e)
     SELECT e AS edge_id, dense_rank() OVER (ORDER BY root) - 1 AS component FROM least""")
-def edge_components(spark, sf):
-    return spatial.edge_components(_iso(spark, sf))
+def edge_components(spark, sf, n=X.EDGES):
+    return spatial.edge_components(_iso(spark, sf, n))
 
 
 @query(X.with_("bundles") + "SELECT edge_id, bundle FROM bundles")
-def bundle_cc(spark, sf):
-    return spatial.bundle_cc(_iso(spark, sf)).select("edge_id", "bundle")
+def bundle_cc(spark, sf, n=X.EDGES):
+    return spatial.bundle_cc(_iso(spark, sf, n)).select("edge_id", "bundle")
 
 
 @query(X.with_("iso") + """, o AS (SELECT edge_id, i1 AS si, j1 AS sj, k1 AS sk, i2 AS i, j2 AS j, k2 AS k FROM iso UNION ALL SELECT edge_id, i2, j2, k2, i1, j1, k1 FROM iso),
@@ -312,13 +322,13 @@ def bundle_cc(spark, sf):
     walk AS (SELECT edge_id AS e, edge_id AS root FROM iso UNION SELECT near.b, walk.root FROM walk JOIN near ON walk.e = near.a),
     least AS (SELECT e, min(root) AS root FROM walk GROUP BY e)
     SELECT e AS edge_id, (dense_rank() OVER (ORDER BY n DESC, root) - 1)::INT AS bundle FROM (SELECT e, root, count(*) OVER (PARTITION BY root) AS n FROM least)""")
-def bundle_strict(spark, sf):
-    return spatial.bundle_strict(_iso(spark, sf)).select("edge_id", "bundle")
+def bundle_strict(spark, sf, n=X.EDGES):
+    return spatial.bundle_strict(_iso(spark, sf, n)).select("edge_id", "bundle")
 
 
 @query(X.with_("bundles") + "SELECT edge_id, (dense_rank() OVER (ORDER BY n DESC, bundle) - 1)::INT AS bundle FROM (SELECT *, count(*) OVER (PARTITION BY bundle) AS n FROM bundles) WHERE n >= 3")
-def drop_small(spark, sf):
-    return spatial.drop_small(spatial.bundle_cc(_iso(spark, sf)), 3).select("edge_id", "bundle")
+def drop_small(spark, sf, n=X.EDGES):
+    return spatial.drop_small(spatial.bundle_cc(_iso(spark, sf, n)), 3).select("edge_id", "bundle")
 
 
 @query(X.with_("alledges") + "SELECT edge_id, (dense_rank() OVER (ORDER BY n DESC, g) - 1)::INT AS g FROM (SELECT edge_id, i1 AS g, count(*) OVER (PARTITION BY i1) AS n FROM alledges)")
@@ -335,8 +345,8 @@ def _prune_sql(rounds: int = 8) -> str:
 
 
 @query(_prune_sql() + "SELECT edge_id, (dense_rank() OVER (ORDER BY n DESC, bundle) - 1)::INT AS bundle FROM (SELECT *, count(*) OVER (PARTITION BY bundle) AS n FROM r8)")
-def prune_isolated_fixpoint(spark, sf):
-    return spatial.prune_isolated(spatial.bundle_cc(_iso(spark, sf))).select("edge_id", "bundle")
+def prune_isolated_fixpoint(spark, sf, n=X.EDGES):
+    return spatial.prune_isolated(spatial.bundle_cc(_iso(spark, sf, n))).select("edge_id", "bundle")
 
 
 @query(X.with_("bundled", more={
@@ -347,16 +357,16 @@ def prune_isolated_fixpoint(spark, sf):
     "small": "SELECT bundle, v FROM (SELECT *, count(*) OVER (PARTITION BY bundle, root) AS n FROM gc) WHERE n < 3",
     "left_": "SELECT * FROM bundled b WHERE NOT EXISTS (SELECT 1 FROM small s WHERE s.bundle = b.bundle AND s.v IN (i1 * 1000000 + j1 * 1000 + k1, i2 * 1000000 + j2 * 1000 + k2))",
 }) + "SELECT edge_id, (dense_rank() OVER (ORDER BY n DESC, bundle) - 1)::INT AS bundle FROM (SELECT *, count(*) OVER (PARTITION BY bundle) AS n FROM left_)")
-def prune_endpoint_clusters(spark, sf):
-    return spatial.prune_small_clusters(spatial.bundle_cc(_iso(spark, sf))).select("edge_id", "bundle")
+def prune_endpoint_clusters(spark, sf, n=X.EDGES):
+    return spatial.prune_small_clusters(spatial.bundle_cc(_iso(spark, sf, n))).select("edge_id", "bundle")
 
 
 _D12 = "sqrt(pow(a.i1 - b.i1, 2) + pow(a.j1 - b.j1, 2) + pow(a.k1 - b.k1, 2)) AS d1, sqrt(pow(a.i2 - b.i2, 2) + pow(a.j2 - b.j2, 2) + pow(a.k2 - b.k2, 2)) AS d2"
 
 
 def _edge_dist(flag: str, expr: str) -> None:
-    def run(spark, sf):
-        return cluster.edge_pairs(X.edges(spark, sf), flag).withColumn("dist", F.round("dist", 6))
+    def run(spark, sf, n=X.EDGES):
+        return cluster.edge_pairs(X.edges(spark, sf, n), flag).withColumn("dist", F.round("dist", 6))
 
     run.__name__ = f"edge_dist_{flag}"
     query(X.with_("edges") + f"SELECT a, b, round({expr}, 6) AS dist FROM (SELECT a.edge_id AS a, b.edge_id AS b, {_D12} FROM edges a JOIN edges b ON a.edge_id < b.edge_id)")(run)
@@ -367,35 +377,35 @@ for _flag, _expr in (("max", "greatest(d1, d2)"), ("min", "least(d1, d2)"), ("me
 
 
 @query(X.with_("bundled") + f"SELECT a, b, round(min(least(d1, d2)), 6) AS dist FROM (SELECT a.bundle AS a, b.bundle AS b, {_D12} FROM bundled a JOIN bundled b ON a.bundle < b.bundle) GROUP BY ALL")
-def bundle_min_dist(spark, sf):
-    return cluster.bundle_distances(spatial.bundle_cc(_iso(spark, sf))).withColumn("dist", F.round("dist", 6))
+def bundle_min_dist(spark, sf, n=X.EDGES):
+    return cluster.bundle_distances(spatial.bundle_cc(_iso(spark, sf, n))).withColumn("dist", F.round("dist", 6))
 
 
 @query(X.with_("bundled") + f"SELECT bundle, round(max(least(d1, d2)), 6) AS maxmin FROM (SELECT a.bundle AS bundle, {_D12} FROM bundled a JOIN bundled b ON a.bundle = b.bundle) GROUP BY ALL")
-def bundle_maxmin(spark, sf):
-    return cluster.maxmin(spatial.bundle_cc(_iso(spark, sf))).withColumn("maxmin", F.round("maxmin", 6))
+def bundle_maxmin(spark, sf, n=X.EDGES):
+    return cluster.maxmin(spatial.bundle_cc(_iso(spark, sf, n))).withColumn("maxmin", F.round("maxmin", 6))
 
 
 @query(X.with_("bundled") + f"SELECT bundle, round(max(d), 6) AS maxmin FROM (SELECT bundle, e, min(least(d1, d2)) AS d FROM (SELECT a.bundle AS bundle, a.edge_id AS e, {_D12} FROM bundled a JOIN bundled b ON a.bundle = b.bundle AND a.edge_id <> b.edge_id) GROUP BY ALL) GROUP BY ALL")
-def bundle_maxmin_edges(spark, sf):
-    return cluster.maxmin(spatial.bundle_cc(_iso(spark, sf)), form="edges").withColumn("maxmin", F.round("maxmin", 6))
+def bundle_maxmin_edges(spark, sf, n=X.EDGES):
+    return cluster.maxmin(spatial.bundle_cc(_iso(spark, sf, n)), form="edges").withColumn("maxmin", F.round("maxmin", 6))
 
 
 @query(X.with_("bundled") + "SELECT bundle, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in _ENDS6) + " FROM bundled GROUP BY bundle")
-def bundle_centroid(spark, sf):
-    return spatial.centroids(spatial.bundle_cc(_iso(spark, sf)), "bundle").select("bundle", *(F.round(c, 6).alias(c) for c in _ENDS6))
+def bundle_centroid(spark, sf, n=X.EDGES):
+    return spatial.centroids(spatial.bundle_cc(_iso(spark, sf, n)), "bundle").select("bundle", *(F.round(c, 6).alias(c) for c in _ENDS6))
 
 
 @query(X.with_("bundled", "edges", more={"c": "SELECT bundle, " + ", ".join(f"avg({c}) AS {c}" for c in _ENDS6) + " FROM bundled WHERE bundle < 6 GROUP BY bundle"})
        + "SELECT e.edge_id, arg_min(c.bundle, {'d': round(" + " + ".join(f"pow(e.{c} - c.{c}, 2)" for c in _ENDS6) + ", 9), 'b': c.bundle}) AS bundle FROM edges e CROSS JOIN c GROUP BY e.edge_id")
-def nearest_centroid(spark, sf):
-    centres = spatial.centroids(spatial.bundle_cc(_iso(spark, sf)).where("bundle < 6"), "bundle")
-    return spatial.nearest_centroid(X.edges(spark, sf), centres, "bundle")
+def nearest_centroid(spark, sf, n=X.EDGES):
+    centres = spatial.centroids(spatial.bundle_cc(_iso(spark, sf, n)).where("bundle < 6"), "bundle")
+    return spatial.nearest_centroid(X.edges(spark, sf, n), centres, "bundle")
 
 
 @query(X.with_("edges") + "SELECT edge_id, round((i1 + i2) / 2 + 0.1 * 0.5 * l, 6) AS x, round((j1 + j2) / 2 - 0.1 * 0.25 * l, 6) AS y FROM (SELECT *, sqrt(pow(i1 - i2, 2) + pow(j1 - j2, 2) + pow(k1 - k2, 2)) AS l FROM edges)")
-def spline_mid(spark, sf):
-    e = X.edges(spark, sf)
+def spline_mid(spark, sf, n=X.EDGES):
+    e = X.edges(spark, sf, n)
     length = C.euclid([F.col(f"{c}1") for c in "ijk"], [F.col(f"{c}2") for c in "ijk"])
     mid = lambda a, by: F.round(C.spline_mid(F.col(f"{a}1"), F.col(f"{a}2"), F.lit(by), length), 6)
     return e.select("edge_id", mid("i", 0.5).alias("x"), mid("j", -0.25).alias("y"))
@@ -405,8 +415,8 @@ def spline_mid(spark, sf):
     "bd": f"SELECT a, b, min(least(d1, d2)) AS d FROM (SELECT a.bundle AS a, b.bundle AS b, {_D12} FROM bundled a JOIN bundled b ON a.bundle <> b.bundle AND a.bundle < 40 AND b.bundle < 40) GROUP BY ALL",
     "bw": "SELECT DISTINCT bundle AS e, bundle AS root FROM bundled WHERE bundle < 40 UNION SELECT bd.b, bw.root FROM bw JOIN bd ON bw.e = bd.a AND bd.d <= 4",
 }) + "SELECT e AS bundle, min(root) AS root FROM bw GROUP BY e")
-def single_linkage_cut_h(spark, sf):
-    e = written(spatial.bundle_cc(_iso(spark, sf)).where("bundle < 40"), "bundles")
+def single_linkage_cut_h(spark, sf, n=X.EDGES):
+    e = written(spatial.bundle_cc(_iso(spark, sf, n)).where("bundle < 40"), "bundles")
     names = [r[0] for r in e.select("bundle").distinct().orderBy("bundle").collect()]
     label = cut_height(cluster.linkage(cluster._square(cluster.bundle_distances(e), names), "single"), 4.0)
     first: dict[int, int] = {}
@@ -416,34 +426,34 @@ def single_linkage_cut_h(spark, sf):
 
 @query()
 def hc1_complete(spark, sf):
-    return cluster.hc1(X.edges(spark, sf), "complete", 44).select("edge_id", "bundle")
+    return cluster.hc1(X.edges(spark, sf, None), "complete", 44).select("edge_id", "bundle")
 
 
 @query()
 def hc2_average(spark, sf):
-    return cluster.hc2(written(spatial.bundle_cc(_iso(spark, sf)), "bundles"))[0].select("edge_id", "bundle", "network")
+    return cluster.hc2(written(spatial.bundle_cc(_iso(spark, sf, None)), "bundles"))[0].select("edge_id", "bundle", "network")
 
 
 @query()
 def recut(spark, sf):
-    edges, tree = cluster.hc2(written(spatial.bundle_cc(_iso(spark, sf)), "bundles"))
+    edges, tree = cluster.hc2(written(spatial.bundle_cc(_iso(spark, sf, None)), "bundles"))
     return cluster.recut(edges, tree, 9).select("edge_id", "network")
 
 
 @query()
 def pipeline_v1(spark, sf):
-    return pipeline.process_v1(X.edges(spark, sf)).edges.select("edge_id", "bundle", "network")
+    return pipeline.process_v1(X.edges(spark, sf, None)).edges.select("edge_id", "bundle", "network")
 
 
 @query()
 def pipeline_v2(spark, sf):
-    return pipeline.process_v2(X.edges(spark, sf)).edges.select("edge_id", "bundle", "network")
+    return pipeline.process_v2(X.edges(spark, sf, None)).edges.select("edge_id", "bundle", "network")
 
 
 @query(_prune_sql().replace("bundled AS (SELECT iso.*", "bundled AS (SELECT iso.*") + "SELECT edge_id, CASE WHEN edge_id NOT IN (SELECT edge_id FROM iso) THEN 'isolation' WHEN edge_id NOT IN (SELECT edge_id FROM r8) THEN 'prune' END AS removed_by FROM edges")
-def mask_chain(spark, sf):
-    e = X.edges(spark, sf)
-    iso = _iso(spark, sf)
+def mask_chain(spark, sf, n=X.EDGES):
+    e = X.edges(spark, sf, n)
+    iso = _iso(spark, sf, n)
     return spatial.removed_by(e, [("isolation", iso), ("prune", spatial.prune_isolated(spatial.bundle_cc(iso)))])
 
 
@@ -455,11 +465,18 @@ def status_rollup(spark, sf):
 
 
 @query(X.with_("bundled") + "SELECT edge_id, bundle FROM bundled WHERE bundle IN (0, 2)")
-def select_labels(spark, sf):
+def select_labels(spark, sf, n=X.EDGES):
     chosen = spark.createDataFrame([(0, None), (2, 2)], "network int, bundle int")
-    return spatial.select_labels(spatial.bundle_cc(_iso(spark, sf)), chosen).select("edge_id", "bundle")
+    return spatial.select_labels(spatial.bundle_cc(_iso(spark, sf, n)), chosen).select("edge_id", "bundle")
 
 
+# The queries above whose SQL is for the first EDGES ids, over all orders.
+for _name in (
+    "isolation_filter", "voxel_components", "edge_components", "bundle_cc", "bundle_strict", "drop_small", "prune_isolated_fixpoint", "prune_endpoint_clusters",
+    "edge_dist_max", "edge_dist_min", "edge_dist_mean", "bundle_min_dist", "bundle_maxmin", "bundle_maxmin_edges", "bundle_centroid", "spline_mid", "mask_chain", "select_labels",
+):
+    _whole(_name)
+
 # Distributions -------------------------------------------------------------------------------------------
 
 

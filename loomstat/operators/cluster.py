@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import edge_distances
 from .linkage import cut_tree, linkage, nth_largest
-from ..tables import ship
+from ..tables import ship, written
+from .graph import components
 from .spatial import centroids, nearest_centroid, relabel, tile_pairs
 
 MAX_EXACT = 8_000
@@ -60,21 +61,19 @@ def _block_minima(edges: DataFrame, label: str, inside: bool, block: int) -> Dat
             right = left
             if t.column("x")[0].as_py() != t.column("y")[0].as_py():
                 return
-        best: dict[tuple[int, int], float] = {}
         order = right[np.argsort(l[right], kind="stable")]
         starts = np.flatnonzero(np.r_[True, l[order][1:] != l[order][:-1]])
         names = l[order][starts]
-        for k in left:
+        own, row = np.unique(l[left], return_inverse=True)
+        # A tile of so many labels at most as it has edges on either side.
+        best = np.full((len(own), len(names)), -np.inf if inside else np.inf)
+        for k, r in zip(left, row, strict=True):
             d1 = np.sqrt(((p[k, :3] - p[order, :3]) ** 2).sum(1))
             d2 = np.sqrt(((p[k, 3:] - p[order, 3:]) ** 2).sum(1))
             v = (np.maximum if inside else np.minimum).reduceat(np.minimum(d1, d2), starts)
-            for m, x in zip(names.tolist(), v.tolist(), strict=True):
-                own = int(l[k])
-                if (own == m) == inside:
-                    key = (min(own, m), max(own, m))
-                    best[key] = (max if inside else min)(best.get(key, x), x)
-        keys = sorted(best)
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in keys], pa.int32()), pa.array([b for _, b in keys], pa.int32()), pa.array([best[k] for k in keys], pa.float64())], ["a", "b", "v"])
+            best[r] = (np.maximum if inside else np.minimum)(best[r], v)
+        r, m = np.nonzero((own[:, None] == names[None, :]) == inside)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[r], names[m]), pa.int32()), pa.array(np.maximum(own[r], names[m]), pa.int32()), pa.array(best[r, m], pa.float64())], ["a", "b", "v"])
 
     return dealt.groupBy("x", "y").applyInArrow(lambda t: pa.Table.from_batches(list(tile(iter(t.to_batches()))), schema=pa.schema([("a", pa.int32()), ("b", pa.int32()), ("v", pa.float64())])), "a int, b int, v double")
 
@@ -157,14 +156,61 @@ def hc1(edges: DataFrame, flag: str = "complete", k: int = 10, max_exact: int =
     return relabel(edges.drop("bundle").join(own, "edge_id"), "bundle")
 
 
+def _alike(edges: DataFrame) -> DataFrame:
+    """(bundle, alike): the smallest bundle of the same place, for bundles whose edges all lie in one place; others are their own."""
+    place = F.struct(*(F.col(c).cast("double").alias(c) for c in ENDS))
+    spans = edges.groupBy(F.col("bundle").cast("int").alias("bundle")).agg(F.min(place).alias("lo"), F.max(place).alias("hi"))
+    spans = written(spans.select("bundle", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("place")), "spans")
+    first = spans.where("place IS NOT NULL").groupBy("place").agg(F.min("bundle").alias("alike"))
+    return written(spans.join(first, "place", "left").select("bundle", F.coalesce("alike", "bundle").alias("alike")), "alike")
+
+
+def _distinct_places(edges: DataFrame, alike: DataFrame) -> DataFrame:
+    """Edges of the bundles that stand for all alike, one of each place."""
+    own = alike.where("bundle = alike").select("bundle")
+    return edges.withColumn("bundle", F.col("bundle").cast("int")).join(own, "bundle", "left_semi").groupBy("bundle", *ENDS).agg(F.min("edge_id").alias("edge_id"))
+
+
+def _collapsed_tree(edges: DataFrame, flag: str) -> tuple[list[int], np.ndarray]:
+    """Bundles and their tree: those of one place, at distance 0 and alike to all others, merge first and count by their number."""
+    alike = _alike(edges)
+    rows = alike.orderBy("bundle").toArrow()
+    names, to = rows.column("bundle").to_numpy(), rows.column("alike").to_numpy()
+    own, group, size = np.unique(to, return_inverse=True, return_counts=True)
+    if len(own) > MOST_BUNDLES:
+        raise ValueError(f"more than {MOST_BUNDLES} bundles of different places make a matrix too large for the driver")
+    z, top = [], {}
+    for leaf, g in enumerate(group.tolist()):
+        if g in top:
+            at, count = top[g]
+            z.append((min(at, leaf), max(at, leaf), 0.0, count + 1))
+            top[g] = (len(names) + len(z) - 1, count + 1)
+        else:
+            top[g] = (leaf, 1)
+    shift = len(names) + len(z) - len(own)
+    for a, b, h, n in linkage(_square(bundle_distances(_distinct_places(edges, alike)), own.tolist()), flag, size):
+        a, b = (top[int(x)][0] if x < len(own) else int(x) + shift for x in (a, b))
+        z.append((min(a, b), max(a, b), h, n))
+    return names.tolist(), np.array(z, float).reshape(-1, 4)
+
+
+def single_cut(edges: DataFrame, height: float) -> DataFrame:
+    """(bundle, root): single linkage cut at height, which is the components of bundles that near to each other; root is the smallest."""
+    alike = _alike(edges)
+    near = bundle_distances(_distinct_places(edges, alike)).where(F.col("dist") <= height).select("a", "b")
+    found = components(alike.where("bundle = alike").select(F.col("bundle").alias("node")), near)
+    return alike.join(found, F.col("alike") == F.col("node")).select("bundle", "root")
+
+
 def hc2(edges: DataFrame, flag: str = "average", k: int = 5) -> tuple[DataFrame, DataFrame]:
     """edges with network, at most k of them, and the tree over bundles (in the order of their numbers)."""
     names = [r[0] for r in edges.select(F.col("bundle").cast("int")).distinct().orderBy("bundle").limit(MOST_BUNDLES + 1).collect()]
-    if len(names) > MOST_BUNDLES:
-        raise ValueError(f"more than {MOST_BUNDLES} bundles make a matrix too large for the driver")
     if len(names) <= 1:
         return edges.withColumn("network", F.lit(0)), linkage_table(edges.sparkSession, np.zeros((0, 4)))
-    z = linkage(_square(bundle_distances(edges), names), flag)
+    if len(names) > MOST_BUNDLES:
+        names, z = _collapsed_tree(edges, flag)
+    else:
+        z = linkage(_square(bundle_distances(edges), names), flag)
     out = relabel(_mapped(edges, "bundle", names, cut_tree(z, min(k, len(names))), "network"), "network")
     return out, linkage_table(edges.sparkSession, z)
 

@@ -207,11 +207,12 @@ def nearest_centroid(edges: DataFrame, centres: DataFrame, label: str) -> DataFr
     cols = [f"{c}{s}" for s in (1, 2) for c in "ijk"]
     rows = centres.orderBy(label).select(label, *(F.col(c).cast("double") for c in cols)).toArrow()
     names, at = rows.column(0).to_numpy(), np.stack([rows.column(c).to_numpy() for c in cols], 1)
+    step = max(1, min(256, (1 << 20) // max(1, len(at))))
 
     def run(batches):
         for b in batches:
             x = np.stack([b.column(k + 1).to_numpy(zero_copy_only=False) for k in range(6)], 1)
-            best = np.concatenate([((x[s : s + 256, None, :] - at[None]) ** 2).sum(2).argmin(1) for s in range(0, len(x), 256)] or [np.zeros(0, np.int64)])
+            best = np.concatenate([((x[s : s + step, None, :] - at[None]) ** 2).sum(2).argmin(1) for s in range(0, len(x), step)] or [np.zeros(0, np.int64)])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names[best])], ["edge_id", label])
 
     return edges.select("edge_id", *(F.col(c).cast("double") for c in cols)).mapInArrow(run, f"edge_id {dict(edges.dtypes)['edge_id']}, {label} {dict(centres.dtypes)[label]}")
