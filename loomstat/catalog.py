@@ -103,8 +103,9 @@ def tri_inverse(spark, sf):
 
 
 @query(X.with_("points") + f"""SELECT i, j, round(r, 6) AS r FROM (SELECT i, j, r FROM ({_CORR}) UNION ALL SELECT j, i, r FROM ({_CORR}) UNION ALL SELECT DISTINCT vox, vox, 1.0 FROM points) WHERE i < 60 AND j < 60""")
-def tri_full_matrix(spark, sf):
-    return signals.full_matrix(signals.correlate(X.signals(spark, sf).where("vox < 60")), 60).withColumn("r", _r6())
+def tri_full_matrix(spark, sf, n=60):
+    n = X.signals(spark, sf).count() if n is None else n
+    return signals.full_matrix(signals.correlate(X.signals(spark, sf).where(F.col("vox") < n)), n).withColumn("r", _r6())
 
 
 @query("""WITH n AS (SELECT count(*) AS n FROM embeddings), b AS (SELECT unnest(range((n + 63) // 64)) AS b, n FROM n)
@@ -399,7 +400,8 @@ def bundle_centroid(spark, sf, n=X.EDGES):
 @query(X.with_("bundled", "edges", more={"c": "SELECT bundle, " + ", ".join(f"avg({c}) AS {c}" for c in _ENDS6) + " FROM bundled WHERE bundle < 6 GROUP BY bundle"})
        + "SELECT e.edge_id, arg_min(c.bundle, {'d': round(" + " + ".join(f"pow(e.{c} - c.{c}, 2)" for c in _ENDS6) + ", 9), 'b': c.bundle}) AS bundle FROM edges e CROSS JOIN c GROUP BY e.edge_id")
 def nearest_centroid(spark, sf, n=X.EDGES):
-    centres = spatial.centroids(spatial.bundle_cc(_iso(spark, sf, n)).where("bundle < 6"), "bundle")
+    bundles = spatial.bundle_cc(_iso(spark, sf, n))
+    centres = spatial.centroids(bundles if n is None else bundles.where("bundle < 6"), "bundle")
     return spatial.nearest_centroid(X.edges(spark, sf, n), centres, "bundle")
 
 
@@ -416,6 +418,8 @@ def spline_mid(spark, sf, n=X.EDGES):
     "bw": "SELECT DISTINCT bundle AS e, bundle AS root FROM bundled WHERE bundle < 40 UNION SELECT bd.b, bw.root FROM bw JOIN bd ON bw.e = bd.a AND bd.d <= 4",
 }) + "SELECT e AS bundle, min(root) AS root FROM bw GROUP BY e")
 def single_linkage_cut_h(spark, sf, n=X.EDGES):
+    if n is None:
+        return cluster.single_cut(written(spatial.bundle_cc(_iso(spark, sf, n)), "bundles"), 4.0)
     e = written(spatial.bundle_cc(_iso(spark, sf, n)).where("bundle < 40"), "bundles")
     names = [r[0] for r in e.select("bundle").distinct().orderBy("bundle").collect()]
     label = cut_height(cluster.linkage(cluster._square(cluster.bundle_distances(e), names), "single"), 4.0)
@@ -473,7 +477,7 @@ def select_labels(spark, sf, n=X.EDGES):
 # The queries above whose SQL is for the first EDGES ids, over all orders.
 for _name in (
     "isolation_filter", "voxel_components", "edge_components", "bundle_cc", "bundle_strict", "drop_small", "prune_isolated_fixpoint", "prune_endpoint_clusters",
-    "edge_dist_max", "edge_dist_min", "edge_dist_mean", "bundle_min_dist", "bundle_maxmin", "bundle_maxmin_edges", "bundle_centroid", "spline_mid", "mask_chain", "select_labels",
+    "edge_dist_max", "edge_dist_min", "edge_dist_mean", "bundle_min_dist", "bundle_maxmin", "bundle_maxmin_edges", "bundle_centroid", "nearest_centroid", "spline_mid", "single_linkage_cut_h", "mask_chain", "select_labels",
 ):
     _whole(_name)
 
@@ -588,13 +592,14 @@ def header_mod(spark, sf):
 
 
 @query(X.with_("points") + f"SELECT i, j, round(r::FLOAT::DOUBLE, 5) AS r FROM ({_CORR}) WHERE j < 80")
-def triangle_round_trip(spark, sf):
+def triangle_round_trip(spark, sf, n=80):
     from .sources import triangle
     from .tables import shared_dir
 
-    pairs = signals.correlate(X.signals(spark, sf).where("vox < 80"))
+    n = X.signals(spark, sf).count() if n is None else n
+    pairs = signals.correlate(X.signals(spark, sf).where(F.col("vox") < n))
     path = f"{shared_dir(spark)}/tri-{__import__('uuid').uuid4().hex}.bin"
-    triangle.write_binary(pairs, path, 80)
+    triangle.write_binary(pairs, path, n)
     triangle.register(spark)
     return spark.read.format("triangle").load(path).select("i", "j", F.round("value", 5).alias("r"))
 
@@ -616,3 +621,8 @@ def streaming_histogram(spark, sf):
     from .streaming.histogram import histogram_of_stream
 
     return histogram_of_stream(written(X.edges(spark, sf, None).select("pvalue"), "stream"), bins=400).select("bin", "count")
+
+
+# The two above that their SQL holds to the first signals, over all signals.
+for _name in ("tri_full_matrix", "triangle_round_trip"):
+    _whole(_name)
