@@ -5,8 +5,8 @@ the blocks that hold each word of the benchmark and sketches the passage-by-word
 passage is added, with a random sign, to one of ``SKETCH`` rows, which is a randomised range finder whose
 partial sums have a fixed size. The driver weighs the sketch by inverse document frequency, stacks it on
 the items' own rows, weighted so that no item falls out of the space, and takes the singular vectors. A
-second pass projects every passage and compares it with every item by cosine. Pairs above ``COSINE`` are
-then decided by words: the best window of about the item's length must hold ``LCS`` of its words in order,
+second pass projects every passage and compares it with every item by cosine. Pairs above ``COSINE``, and places where a text shares ``SHARE`` of an item's runs of ``GRAM`` words,
+whatever the cosine, are then decided by words: the best window of about the item's length must hold ``LCS`` of its words in order,
 and ``ANSWER`` of its answer (what follows the last question mark, or else its last sentence).
 
 Words outside the benchmark's vocabulary can be in no common subsequence, so only the vocabulary has
@@ -39,6 +39,9 @@ LEAST = 8
 COSINE = 0.42
 LCS = 0.7
 ANSWER = 0.6
+#: An item all of whose words stand in a row has every run of so many words; an edit breaks GRAM runs at most.
+GRAM = 3
+SHARE = 0.125
 #: Bytes of benchmark that may go to every task.
 MOST_BYTES = 64 << 20
 #: Bytes of text handled at a time; a word takes a row of the space.
@@ -72,6 +75,49 @@ class Space:
     project: np.ndarray | None = None
     latent: np.ndarray | None = None
 
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sorted keys of the items' runs of GRAM words, the first entry of each, and the item of each entry."""
+        if not hasattr(self, "_grams"):
+            keys = [np.unique(_keys(x)) for x in self.items]
+            of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            keys = np.concatenate(keys)
+            order = np.argsort(keys, kind="stable")
+            known, first = np.unique(keys[order], return_index=True)
+            self._maybe = np.zeros(1 << 20, bool)
+            self._maybe[known >> np.uint64(44)] = True
+            self._grams = known, np.r_[first, len(keys)], of[order]
+        return self._grams
+
+    def shared(self, t: np.ndarray, ptr: np.ndarray) -> list[tuple[int, int, int]]:
+        """(row, item, word) where a text begins to hold SHARE of an item's runs, about an item's length apart."""
+        known, first, of = self.grams()
+        at = np.flatnonzero((t[:-2] >= 0) & (t[1:-1] >= 0) & (t[2:] >= 0)) if len(t) >= GRAM else np.zeros(0, np.int64)
+        row = np.searchsorted(ptr, at, "right") - 1
+        inside = at + GRAM <= ptr[row + 1]
+        at, row = at[inside], row[inside]
+        key = _mixed(t[at], t[at + 1], t[at + 2])
+        m = self._maybe[key >> np.uint64(44)]
+        at, row, key = at[m], row[m], key[m]
+        k = np.minimum(np.searchsorted(known, key), len(known) - 1)
+        m = known[k] == key
+        at, row, k = at[m], row[m], k[m]
+        n = first[k + 1] - first[k]
+        item = of[np.repeat(first[k] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())] if len(k) else np.zeros(0, np.int64)
+        at, row = np.repeat(at, n), np.repeat(row, n)
+        order = np.lexsort((at, item, row))
+        at, row, item = at[order], row[order], item[order]
+        size = np.array([len(x) for x in self.items])[item]
+        need = np.maximum(1, ((size - GRAM + 1) * SHARE).astype(np.int64))
+        end = np.arange(len(at)) + need - 1
+        ok = end < len(at)
+        end = np.minimum(end, max(0, len(at) - 1))
+        ok &= (row[end] == row) & (item[end] == item) & (at[end] - at <= size + np.maximum(4, size // 4))
+        out: list[tuple[int, int, int]] = []
+        for x in zip(row[ok].tolist(), item[ok].tolist(), at[ok].tolist(), strict=True):
+            if not out or out[-1][:2] != x[:2] or x[2] > out[-1][2] + len(self.items[x[1]]) // 2:
+                out.append(x)
+        return out
+
     def terms(self, hashes: np.ndarray) -> np.ndarray:
         """Number of each word, -1 outside the vocabulary."""
         if not hasattr(self, "_first"):
@@ -85,6 +131,14 @@ class Space:
         return out
 
 
+def _mixed(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return tc.mix(a.astype(np.uint64) * np.uint64(tc.BASES[0]) + b.astype(np.uint64) * np.uint64(tc.BASES[1]) + c.astype(np.uint64) * np.uint64(tc.BASES[2]))
+
+
+def _keys(t: np.ndarray) -> np.ndarray:
+    return _mixed(t[:-2], t[1:-1], t[2:])
+
+
 def spaces(benchmark: DataFrame) -> list[Space]:
     """The benchmark is read to the driver, as all of it goes to every task; beyond MOST_BYTES it raises, and is to be given in parts."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -248,6 +302,15 @@ def _hits(text: pa.Array, made: list[Space], cosine: float, lcs: float, answer:
                 share, told = compare(s.items[y], s.answers[y], near, lcs)
                 if share and told >= answer and share > best.get((row, y), (0, 0))[1]:
                     best[row, y] = (float(cos[x, y] / norm[x]), share, told)
+            for row, y, word in s.shared(t, ptr):
+                if (row, y) in best and best[row, y][1] >= 0.999:
+                    continue
+                m = len(s.items[y])
+                near = t[max(ptr[row], word - m) : min(ptr[row + 1], word + 2 * m + 8)]
+                share, told = compare(s.items[y], s.answers[y], near, lcs)
+                if share and told >= answer and share > best.get((row, y), (0, 0))[1]:
+                    x = of_word[word]
+                    best[row, y] = (float(cos[x, y] / max(norm[x], 1e-9)), share, told)
             for (row, y), found in best.items():
                 out[i + row].append((s.ids[y], *found))
     return out

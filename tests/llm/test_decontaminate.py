@@ -55,3 +55,16 @@ def test_nulls_and_empty_tables(spark):
     assert op.contaminated(docs, bench.limit(0)).count() == 0
     assert op.answer_of("What is it? The answer is four.") == " The answer is four."
     assert op.answer_of("First one. Then two.") == "Then two."
+
+
+def test_items_beside_repeated_words_do_not_depend_on_the_cosine(spark):
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(8 + i % 20))) for i in range(60)]
+    rows = [(i, f"{(items[(i + 7) % 60][1].split()[0] + ' ') * 70}{text} {(items[(i + 9) % 60][1].split()[0] + ' ') * 70}") for i, text in items]
+    edited = [(100 + i, " ".join(x if k != len(text.split()) // 2 else "zzz" for k, x in enumerate(f"{text}".split()))) for i, text in items]
+    rows += [(i, f"{(items[(i + 3) % 60][1].split()[1] + ' ') * 70}{text} {(items[(i + 4) % 60][1].split()[1] + ' ') * 70}") for i, text in edited]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for cosine in (op.COSINE, 2.0):  # none reaches 2
+        got = {(r.doc_id, r.item_id) for r in op.contaminated(docs, bench, cosine=cosine, answer=0.0).collect()}
+        assert got == {(i, i) for i in range(60)} | {(100 + i, i) for i in range(60)}
