@@ -38,7 +38,7 @@ def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    return decontaminate.find(docs, table(spark, sf_dir, "benchmark")).where(F.size("hits") == 0).select(*docs.columns)
+    return decontaminate.find(docs, table(spark, sf_dir, "benchmark"), short=True).where(F.size("hits") == 0).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

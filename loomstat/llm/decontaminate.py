@@ -11,7 +11,8 @@ and ``ANSWER`` of its answer (what follows the last question mark, or else its l
 
 Words outside the benchmark's vocabulary can be in no common subsequence, so only the vocabulary has
 columns; it is bounded by the benchmark, of which ``ITEMS`` items at a time make one space. Words are
-lower-cased runs of letters and digits. Items of fewer than ``LEAST`` words match by chance and are left out.
+lower-cased runs of letters and digits. Of items of fewer than ``LEAST`` words a part matches by
+chance; with ``short`` they are found where all their words stand in a row, and without it they are left out.
 
 Null and empty texts have no passages and are clean; rows are judged one by one, so repeated rows and null
 ids are kept apart. An empty benchmark leaves everything clean.
@@ -139,7 +140,26 @@ def _keys(t: np.ndarray) -> np.ndarray:
     return _mixed(t[:-2], t[1:-1], t[2:])
 
 
-def spaces(benchmark: DataFrame) -> list[Space]:
+@dataclass
+class Short:
+    """Items of one number of words, to be found word for word."""
+
+    length: int
+    known: np.ndarray  # sorted hashes
+    first: np.ndarray
+    ids: list[int | None]
+
+
+def shorts(rows: list[tuple[int | None, np.ndarray]]) -> list[Short]:
+    made = []
+    for n in sorted({len(x) for _, x in rows if 0 < len(x) < LEAST}):
+        own = sorted(((int(tc.gram_hashes(x, n, tc.BASES[1])[0]), k) for k, (_, x) in enumerate(rows) if len(x) == n))
+        known, first = np.unique(np.array([h for h, _ in own], np.uint64), return_index=True)
+        made.append(Short(n, known, np.r_[first, len(own)], [rows[k][0] for _, k in own]))
+    return made
+
+
+def spaces(benchmark: DataFrame) -> tuple[list[Space], list[Short]]:
     """The benchmark is read to the driver, as all of it goes to every task; beyond MOST_BYTES it raises, and is to be given in parts."""
     size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > MOST_BYTES:
@@ -161,7 +181,7 @@ def spaces(benchmark: DataFrame) -> list[Space]:
         s = Space([rows[k][0] for k in own], [], [], np.unique(np.concatenate([items[k] for k in own])))
         s.items, s.answers = [s.terms(items[k]) for k in own], [s.terms(answers[k]) for k in own]
         made.append(s)
-    return made
+    return made, shorts([(i, x) for (i, _), x in zip(rows, items, strict=True)])
 
 
 def _blocks(ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -267,13 +287,22 @@ def compare(item: np.ndarray, answer: np.ndarray, words: np.ndarray, lcs: float)
     return best / m, common(answer, words[at : at + length]) / max(1, len(answer))
 
 
-def _hits(text: pa.Array, made: list[Space], cosine: float, lcs: float, answer: float) -> list[list[tuple]]:
+def _hits(text: pa.Array, made: list[Space], few: list[Short], cosine: float, lcs: float, answer: float) -> list[list[tuple]]:
     """For each text, (item_id, cosine, share of the item, share of the answer) of the items that it holds."""
     out: list[list[tuple]] = [[] for _ in range(len(text))]
     for i, words, ptr in _words(text, SMALL_CHUNK):
         if not len(words):
             continue
         of_word, row_of, first = _blocks(ptr)
+        for s in few:
+            h = tc.gram_hashes(words, s.length, tc.BASES[1])
+            if not len(h):
+                continue
+            k = np.minimum(np.searchsorted(s.known, h), len(s.known) - 1)
+            at = np.flatnonzero(s.known[k] == h)
+            row = np.searchsorted(ptr, at, "right") - 1
+            for row, k in sorted({(a, b) for a, b, w in zip(row.tolist(), k[at].tolist(), at.tolist(), strict=True) if w + s.length <= ptr[a + 1]}):
+                out[i + row] += [(x, 1.0, 1.0, 1.0) for x in s.ids[s.first[k] : s.first[k + 1]]]
         for s in made:
             t = s.terms(words)
             at = np.flatnonzero(t >= 0)
@@ -316,10 +345,11 @@ def _hits(text: pa.Array, made: list[Space], cosine: float, lcs: float, answer:
     return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER, short: bool = False) -> DataFrame:
     """docs with hits: the items that the row's text holds, as (item_id, cosine, lcs, answer)."""
     prepare(docs.sparkSession)
-    made = spaces(benchmark)
+    made, few = spaces(benchmark)
+    few = few if short else []
     if made:
         _fit(docs, made)
     kind = "array<struct<item_id:long,cosine:double,lcs:double,answer:double>>"
@@ -329,7 +359,7 @@ def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits = _hits(b.column(at), made, cosine, lcs, answer)
+            hits = _hits(b.column(at), made, few, cosine, lcs, answer)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[dict(zip(("item_id", "cosine", "lcs", "answer"), h, strict=True)) for h in x] for x in hits], arrow)], [*b.schema.names, "hits"])
 
     return docs.mapInArrow(run, schema)

@@ -68,3 +68,21 @@ def test_items_beside_repeated_words_do_not_depend_on_the_cosine(spark):
     for cosine in (op.COSINE, 2.0):  # none reaches 2
         got = {(r.doc_id, r.item_id) for r in op.contaminated(docs, bench, cosine=cosine, answer=0.0).collect()}
         assert got == {(i, i) for i in range(60)} | {(100 + i, i) for i in range(60)}
+
+
+def test_short_items_are_found_word_for_word(spark):
+    items = [(1, "Capital of France? Paris"), (2, "Capital of France? Rome"), (3, "capital  of FRANCE, paris"), (4, "Two words"), (5, "?!"), (6, "one two three four five six seven eight nine")]
+    docs = [(1, "the capital of France: Paris."), (2, "capital of France"), (3, "two\nwords capital of france rome"), (4, "two"), (5, "words two"), (6, None), (7, "a one two three four five six seven eight nine b")]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id) for r in op.contaminated(docs, bench, short=True).collect())
+    assert got == [(1, 1), (1, 3), (3, 2), (3, 4), (7, 6)]
+    only = op.contaminated(docs, bench.where("item_id < 5"), short=True).collect()
+    assert sorted((r.doc_id, r.item_id) for r in only) == [(1, 1), (1, 3), (3, 2), (3, 4)]
+
+
+def test_registered_query_finds_short_items(spark, sf, tmp_path):
+    from loomstat.llm import queries
+
+    spark.createDataFrame([(1, "x capital of France Paris y")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(9, "Capital of France? Paris")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [(r.doc_id, r.item_id) for r in queries.op6_decontaminate(spark, str(tmp_path)).collect()] == [(1, 9)]
