@@ -9,7 +9,7 @@ that is large, or one vector that is very common, is split over tasks and nothin
 
 Nearness is the inner product in double precision; ties go to the smaller vec_id. Vectors that are null,
 zero, of another length than most, or hold null or non-finite components take no part, nor do null ids.
-Rows of one vec_id count as one, the nearest. A query has as many rows as there are candidates, up to k.
+Rows of one vec_id count as one, the nearest; equal rows are dropped before tiles are made. A query has as many rows as there are candidates, up to k.
 Other columns are ignored; an empty table gives no rows.
 """
 
@@ -146,16 +146,23 @@ def _vectors(col: pa.Array, length: int) -> np.ndarray:
 
 
 def _top(q: np.ndarray, c: np.ndarray, q_id: np.ndarray, c_id: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """(query id, candidate id, score) of the k nearest of each query in a tile."""
+    """(query id, candidate id, score) of the k nearest ids of each query in a tile; an id is as near as its nearest row."""
     ids, others, scores = [], [], []
+    order = np.argsort(c_id, kind="stable")
+    c, c_id = c[order], c_id[order]
+    starts = np.flatnonzero(np.r_[True, c_id[1:] != c_id[:-1]]) if len(c) else np.zeros(0, np.int64)
     for s in range(0, len(q), 512):
         sim = q[s : s + 512] @ c.T
         sim[q_id[s : s + 512, None] == c_id[None, :]] = -np.inf
-        kth = np.partition(sim, -min(k, len(c)), axis=1)[:, -min(k, len(c))] if len(c) else np.zeros(0)
+        best = sim if len(starts) == len(c) else np.maximum.reduceat(sim, starts, axis=1)
+        kth = np.partition(best, -min(k, len(starts)), axis=1)[:, -min(k, len(starts))] if len(c) else np.zeros(0)
         a, b = np.nonzero((sim >= (kth - 1e-9 * (1 + np.abs(kth)))[:, None]) & (sim > -np.inf))
         exact = (q[s + a] * c[b]).sum(1)  # the same sum wherever a pair stands
         order = np.lexsort((c_id[b], -exact, a))
         a, b, exact = a[order], b[order], exact[order]
+        if len(starts) < len(c):
+            nearest = np.sort(np.unique(a * len(starts) + np.searchsorted(starts, b, "right"), return_index=True)[1])
+            a, b, exact = a[nearest], b[nearest], exact[nearest]
         first = np.searchsorted(a, a)
         keep = np.arange(len(a)) - first < k
         ids.append(q_id[s + a[keep]]), others.append(c_id[b[keep]]), scores.append(exact[keep])
@@ -173,7 +180,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_i
     length, n = lengths["length"], lengths["count"]
     rows = rows.where(F.size("v") == length)
     share = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / n))
-    fitted = rows.where(share).select("vec_id", "v").toArrow().sort_by("vec_id")
+    fitted = rows.where(share).select("vec_id", "v").distinct().toArrow().sort_by("vec_id")
     router, probes = fit(_vectors(fitted.column("v").combine_chunks(), length), fitted.num_rows // part_sample, k)
 
     def route(depth: int):
@@ -188,15 +195,15 @@ def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_i
         return run
 
     schema = f"vec_id long, v {dict(rows.dtypes)['v']}, part int"
-    index = written(rows.select("vec_id", "v").mapInArrow(route(1), schema), "index")
-    asked = written(rows.where("asks").select("vec_id", "v").mapInArrow(route(probes), schema), "asked")
+    index = written(rows.select("vec_id", "v").distinct().mapInArrow(route(1), schema), "index")
+    asked = written(rows.where("asks").select("vec_id", "v").distinct().mapInArrow(route(probes), schema), "asked")
 
     def blocks(t: DataFrame, name: str) -> DataFrame:
         return t.groupBy("part").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias(name))
 
     # One row for each part: sample / part_sample at most.
     shape = F.broadcast(blocks(index, "c_blocks").join(blocks(asked, "q_blocks"), "part"))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = asked.join(shape, "part").select("part", each("c_blocks").alias("c"), block("q_blocks").alias("q"), F.lit(0).alias("side"), "vec_id", "v")
     right = index.join(shape, "part").select("part", block("c_blocks").alias("c"), each("q_blocks").alias("q"), F.lit(1).alias("side"), "vec_id", "v")

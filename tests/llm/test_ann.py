@@ -63,3 +63,29 @@ def test_parts_are_balanced():
     x = np.concatenate([rng.normal(0, 0.1, (700, 4)) + 1, rng.normal(0, 1, (300, 4))])
     part = op.balanced_parts(x, op._nearest(x, 5), 8)
     assert np.bincount(part, minlength=8).max() <= np.ceil(1000 / 8 * 1.1)
+
+
+def test_repeated_ids_leave_room_for_others(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (200, 6)).astype(np.float32)
+    df, rows = make(spark, x)
+    want = op.brute_force(rows, range(0, 200, 20))
+
+    def found(t, **how):
+        got = {}
+        for r in op.search(t, F.col("vec_id") % 20 == 0, **how).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append(r.vec_id)
+        return got
+
+    for copies in (df.unionByName(df), df.unionByName(df.where("vec_id = 7").withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(100)))).drop("n"))):
+        assert found(copies) == want
+    # One id with many near vectors, in tiles of all and of few rows.
+    hot = [(7, [float(v) for v in (x[7] + rng.normal(0, 0.01, 6)).astype(np.float32)]) for _ in range(300)]
+    many = df.unionByName(spark.createDataFrame(hot, "vec_id long, embedding array<float>"))
+    both = np.array([v for _, v in rows] + [v for _, v in hot], np.float64)
+    ids = np.array([i for i, _ in rows] + [7] * 300)
+    for tile_rows in (4096, 40):
+        for q, got in found(many, tile_rows=tile_rows).items():
+            s = both @ both[q]
+            near = {i: s[ids == i].max() for i in range(200) if i != q}
+            assert got == sorted(near, key=lambda i: (-near[i], i))[:20]
