@@ -36,7 +36,7 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60, local:
     """(node, root) for every row of nodes (node); root is the smallest node of the component.
 
     edges are (a, b) of the same type as node, which may be any type with an order. Large-star and
-    small-star steps alternate until nothing changes; each round is two shuffles of the edges that are left.
+    small-star steps alternate until nothing changes; a node of very many edges does not land in one task.
     Up to ``local`` edges are joined on the driver instead, which saves the rounds.
     """
     plain_unions(nodes.sparkSession)
@@ -45,21 +45,28 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60, local:
     if cur.count() <= local:
         roots = _local(cur)
         return own.join(roots, F.col("node") == F.col("u"), "left").select("node", F.coalesce("root", "node").alias("root"))
+    roots = forest(cur, max_rounds)
+    return own.join(roots, own["node"] == roots["u"], "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def forest(cur: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(u, root) for every node but the smallest of each component of a written table of edges (u, v), u <> v, which is deleted.
+
+    A round takes every node to the smallest it knows. The smallest ones are summed up before their shuffle and written, so that
+    the join that brings them back has a plain shuffle on both sides, where AQE splits a node of very many edges, or none at all.
+    """
     seen = None
     for _ in range(max_rounds):
         near = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        large = near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        old, cur = cur, written(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(old)
+        least = written(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
+        # v > u >= m, so that edges point down.
+        down = written(near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = written(down.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        old, cur = cur, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(old, least, down, low)
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
-            break
+            return cur.select("u", F.col("v").alias("root"))
         seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    roots = cur.groupBy("u").agg(F.min("v").alias("root"))
-    return own.join(roots, F.col("node") == F.col("u"), "left").select("node", F.coalesce("root", "node").alias("root"))
+    raise RuntimeError("components did not settle")

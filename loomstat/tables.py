@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,31 +26,60 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (a test session), a folder of this machine."""
+    """The folder of spark.checkpoint.dir. Where it is unset, a local session gets a folder of this machine; on a cluster that would not be seen by all, so it raises."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path.rstrip("/")
     at = spark.sparkContext._jsc.sc().getCheckpointDir()
     if at.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomstat-"))
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
     return at.get().rstrip("/")
 
 
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
+@contextmanager
+def scope() -> Iterator[None]:
+    """Deletes on exit the tables that were written inside; results that read them have to be used before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            delete_path(spark, path)
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append((spark, path))
+    return path
+
+
 def written(df: DataFrame, name: str = "step") -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors and is read by columns."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
 
 
-def discard(table: DataFrame) -> None:
-    """Deletes a written table that no later plan reads."""
-    spark = table.sparkSession
-    p = spark._jvm.org.apache.hadoop.fs.Path(table._written_to)
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library has written."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no later plan reads."""
+    for t in tables:
+        delete_path(t.sparkSession, t._written_to)
+
+
 def plain_unions(spark: SparkSession) -> None:
     """Keeps unions from claiming a partitioning, which Spark 4.1 gets wrong when AQE has coalesced one side."""
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
