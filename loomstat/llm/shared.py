@@ -2,55 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..tables import ship
+from ..operators.graph import forest
+from ..tables import delete_path, discard, fresh_path, scope, shared_dir, ship, written
+
+__all__ = ["components", "delete_path", "discard", "fresh_path", "prepare", "scope", "shared_dir", "shuffle_parts", "table", "written"]
 
 #: Rows of a batch that goes to Python; bounds a worker's memory when texts are long.
 ARROW_ROWS = 2000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset (a test session), a folder of this machine."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_to.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomstat-"))
-        set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return set_to.get().rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors and is read by columns."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._written_to = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes written tables that no later plan reads."""
-    for t in tables:
-        delete_path(t.sparkSession, t._written_to)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Deletes a folder that this library has written."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def prepare(spark: SparkSession) -> None:
     """Gives the package to the executors; lowers the session's Arrow batch size to ARROW_ROWS and leaves smaller settings alone; keeps unions
     from claiming a partitioning, which Spark 4.1 gets wrong when AQE has coalesced one side."""
@@ -69,32 +32,13 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """Connected components of an edge list: (node, root), root the smallest node of its component.
 
-    Alternates large-star and small-star steps; each round shuffles the edges and writes them to the
-    shared folder, so no task holds a component. Nodes without an edge are absent; nulls are ignored.
+    Rounds of large and small stars over tables in the shared folder, so no task and no driver holds a
+    component. Nodes without an edge are absent; nulls are ignored.
     """
-    spark = edges.sparkSession
-    prepare(spark)
-    both = lambda d: d.select(F.col("u"), F.col("v")).unionByName(d.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    prepare(edges.sparkSession)
     cur = written(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "edges")
-    last = None
-    for _ in range(max_rounds):
-        near = both(cur)
-        low = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = near.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("u"), "m").where("u != m").select("u", F.col("m").alias("v"))
-        new = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        # Each edge now points down; the forest is flat once no target has an edge of its own.
-        now = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        discard(cur)
-        cur = new
-        if tuple(now) == last:
-            break
-        last = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(cur.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
+    roots = written(forest(cur, max_rounds), "roots")
+    return roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
