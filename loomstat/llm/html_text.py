@@ -10,18 +10,25 @@ with gradients from the same messages.
 Labelled pages are HTML whose ``data-main`` attributes say 1 or 0 for a block and those inside it.
 ``labelled_pages`` invents them from many layouts; pages of one's own can be given instead.
 
-Text of a block between other blocks is one line: references decoded, white space made one space. Null
-and empty pages, and pages without content, have an empty text. Pages are handled one by one, so repeated
-rows and ids give repeated results, and no size of a page drops anything. Other columns are ignored.
+Text of a block between other blocks is one line: references decoded, white space made one space. Embedded
+elements (pictures, players, templates) are parsed and left out with what is in them; one that is never
+closed, or that the end of a block around it cuts off, takes nothing else with it. Formulas are text.
+``WEIGHTS`` holds the weights of ``train(labelled_pages())``; ``python -m loomstat.llm.html_text`` writes it.
+
+Null and empty pages, and pages without content, have an empty text; a page that is only an article, be
+it loose text, one block or a fragment, is all content. Pages are handled one by one, so repeated rows and
+ids give repeated results, and no size or depth of a page drops anything. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import random
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +38,12 @@ from .shared import prepare
 
 # Names of HTML elements by how the standard's parser treats them.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE |= frozenset("math mi mo mn ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mspace mpadded mphantom menclose semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg iframe object canvas math audio video noframes xmp".split())
+#: What stands up to the end tag is not markup.
+RAW = frozenset("script style iframe noframes noembed".split())
+#: Elements whose content is no text of the page: pictures, or what stands in for something that is not shown.
+EMBEDDED = frozenset("svg canvas object applet audio video template noscript annotation annotation-xml".split())
 CLOSES = {
     "li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "option": ("option", "select"),
     "tr": ("tr td th", "table tbody thead tfoot"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
@@ -48,9 +59,9 @@ KINDS = {
     "foot": "footer foot copyright colophon contentinfo legal bottom",
     "side": "sidebar side aside complementary rail widget widgets related recommended recommendations popular trending more-stories tags tagcloud archive",
     "advert": "ad ads advert adverts advertisement advertorial adsense adbox sponsor sponsored promo promotion dfp outbrain taboola",
-    "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup paywall message disclaimer warning",
+    "notice": "cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup paywall message disclaimer warning note hatnote",
     "form": "form search searchbox login signin register contact-form survey",
-    "comment": "comment comments commentlist comment-list disqus discussion reply replies respond reader-comments feedback",
+    "comment": "comment comments commentlist comment-list disqus discussion reply replies respond response responses reader-comments feedback thread threads",
     "share": "share sharing social follow like tweet buttons toolbar print byline-tools meta",
     "hidden": "hidden invisible sr-only visually-hidden screen-reader-text",
     "main": "article main content post entry story body text page-content post-content entry-content article-body articlebody story-body maincontent main-content",
@@ -60,7 +71,9 @@ BAD_TAGS = frozenset("nav header footer aside form fieldset button select option
 GOOD_TAGS = frozenset("article main".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
-NUMBERS = 11
+NUMBERS = 20
+#: A short line with a date, a time or how long ago.
+DATED = re.compile(r"\b\d{1,2}:\d{2}\b|\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\b(?:19|20)\d\d\b|\bago\b", re.I)
 #: Elements that an article is made of.
 PROSE = frozenset("p h1 h2 h3 h4 blockquote pre".split())
 FEATURES = 1 + len(TAGS) + len(KINDS) + NUMBERS
@@ -96,6 +109,9 @@ class Tree:
         self.parent, self.tag, self.attributes, self.lines = [-1], ["html"], [""], []
         stack, text, link, in_link, pos = [0], [], 0, False, 0
         parent, tag, attributes = self.parent, self.tag, self.attributes
+        open_: dict[str, int] = {}  # how many blocks of a name are open
+        dropped: list[str] = []  # an embedded element and what is open in it
+        last_end: dict[str, int] = {}
 
         def flush() -> None:
             nonlocal link
@@ -106,10 +122,30 @@ class Tree:
                 text.clear()
             link = 0
 
+        def leave(k: int) -> None:
+            for x in stack[k:]:
+                open_[tag[x]] -= 1
+            del stack[k:]
+
+        def up_to(names: frozenset, within: frozenset = frozenset()) -> int:
+            """Place on the stack of the innermost block of these names, 0 if there is none before one of within."""
+            if any(open_.get(x) for x in names):
+                for k in range(len(stack) - 1, 0, -1):
+                    if tag[stack[k]] in within:
+                        return 0
+                    if tag[stack[k]] in names:
+                        return k
+            return 0
+
+        def ends_later(name: str, at: int) -> bool:
+            if name not in last_end:
+                last_end[name] = max((m.start() for m in re.finditer(f"</{re.escape(name)}(?=[\\s/>])", page, re.I)), default=-1)
+            return last_end[name] >= at
+
         while True:
             restart = False
             for m in TOKEN.finditer(page, pos):
-                if m.start() > pos:
+                if m.start() > pos and not dropped:
                     text.append(page[pos : m.start()])
                     if in_link:
                         link += m.start() - pos
@@ -117,46 +153,58 @@ class Tree:
                 if name is None:
                     continue
                 name, closing = name.lower(), m[1]
+                if name in RAW:
+                    if not closing and not m[3].endswith("/"):
+                        end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>?", re.I).search(page, pos)
+                        pos, restart = end.end() if end else len(page), True
+                        break
+                    continue
+                if dropped:
+                    if not closing:
+                        if name not in INLINE and name not in VOID and not m[3].endswith("/"):
+                            dropped.append(name)
+                        continue
+                    if name in dropped:
+                        del dropped[len(dropped) - 1 - dropped[::-1].index(name) :]
+                        continue
+                    if name in INLINE or name in ("html", "body") or not open_.get(name):
+                        continue
+                    dropped.clear()  # the block around it ends
                 if name in INLINE:
                     if name == "a":
                         in_link = not closing
                     elif name == "br":
                         text.append(" ")
                     continue
-                if name in RAW:
-                    if not closing and not m[3].endswith("/"):
-                        end = re.compile(f"</{re.escape(name)}(?=[\\s/>])[^>]*>?", re.I).search(page, pos)
-                        pos, restart = end.end() if end else len(page), True
-                        break
+                if name in EMBEDDED:
+                    if not closing and not m[3].endswith("/") and ends_later(name, pos):
+                        dropped.append(name)
                     continue
                 flush()
                 if closing:
-                    if name not in ("body", "html"):
-                        for k in range(len(stack) - 1, 0, -1):
-                            if tag[stack[k]] == name:
-                                del stack[k:]
-                                break
+                    if name not in ("body", "html") and (k := up_to(frozenset((name,)))):
+                        leave(k)
                     continue
                 if name in ("html", "body") and len(stack) == 1 and name in tag[: 1 if name == "html" else None]:
                     if name == "html":
                         attributes[0] = m[3]
                     continue
                 if len(stack) > 1 and tag[stack[-1]] == "p":
-                    stack.pop()
+                    leave(len(stack) - 1)
                 if name in CLOSES:
                     shut, within = CLOSES[name]
-                    for k in range(len(stack) - 1, 0, -1):
-                        if tag[stack[k]] in within:
-                            break
-                        if tag[stack[k]] in shut and (name != "tr" or tag[stack[k]] == "tr" or tag[stack[k - 1]] not in shut):
-                            del stack[k:]
-                            break
+                    k = up_to(shut, within)
+                    if name == "tr" and k and tag[stack[k]] != "tr" and tag[stack[k - 1]] in shut:
+                        k = up_to(frozenset(("tr",)), within) or k
+                    if k:
+                        leave(k)
                 parent.append(stack[-1]), tag.append(name), attributes.append(m[3])
                 if name not in VOID and not m[3].endswith("/"):
                     stack.append(len(tag) - 1)
+                    open_[name] = open_.get(name, 0) + 1
             if not restart:
                 break
-        if pos < len(page):
+        if pos < len(page) and not dropped:
             text.append(page[pos:])
         flush()
 
@@ -202,25 +250,52 @@ class Forest:
                 if label is not None:
                     self.label[k] = label
                 k += 1
-        chars, links, lines, ends = (np.zeros(total) for _ in range(4))
+        chars, links, lines, ends, dated = (np.zeros(total) for _ in range(5))
         for t, s in zip(self.trees, self.first, strict=False):
             for node, line, link in t.lines:
-                chars[s + node] += len(line)
-                links[s + node] += link
-                lines[s + node] += 1
-                ends[s + node] += line[-1] in ".!?…。！？\"”»:"
-        all_chars, all_links, all_ends = chars.copy(), links.copy(), ends.copy()
+                k = s + node
+                chars[k] += len(line)
+                links[k] += link
+                lines[k] += 1
+                ends[k] += line[-1] in ".!?…。！？\"”»:"
+                dated[k] += len(line) < 80 and DATED.search(line) is not None
+        all_chars, all_links, all_ends, all_lines, all_dated = chars.copy(), links.copy(), ends.copy(), lines.copy(), dated.copy()
         for level in self.levels[:0:-1]:
-            for a in (all_chars, all_links, all_ends):
+            for a in (all_chars, all_links, all_ends, all_lines, all_dated):
                 np.add.at(a, self.parent[level], a[level])
-        prose = np.zeros(total)  # in children that are not marked as anything
+        prose, again, rows, entry = (np.zeros(total) for _ in range(4))
+        page = np.repeat(self.first[:-1], np.diff(self.first))
+        marked = np.zeros(total)  # text in marked blocks, and entries, by page
         for t, s in zip(self.trees, self.first, strict=False):
+            inside: list[list[str]] = [[] for _ in t.tag]
             for node, tag in enumerate(t.tag):
-                if tag in PROSE and node and not self.edge[s + node]:
-                    prose[s + t.parent[node]] += chars[s + node]
+                if node:
+                    inside[t.parent[node]].append(tag)
+                    if tag in PROSE and not self.edge[s + node]:  # children that are not marked as anything
+                        prose[s + t.parent[node]] += chars[s + node]
+                if self.edge[s + node] == 1:
+                    marked[s] += all_chars[s + node]
+            # Siblings that are built alike, as the entries of a thread or a listing are.
+            alike: dict[tuple, list[int]] = {}
+            for node, tag in enumerate(t.tag):
+                if node and tag not in PROSE and (inside[node] or tag in ("li", "div", "section")):
+                    alike.setdefault((t.parent[node], tag, *inside[node][:4]), []).append(node)
+            for (up, _, *first), nodes in alike.items():
+                if len(nodes) > 1:
+                    at = [s + x for x in nodes]
+                    again[at] = len(nodes)
+                    rows[s + up] = max(rows[s + up], len(nodes))
+                    entry[at] = bool(first) & (all_dated[at] > 0)
+        for level in self.levels[1:]:  # what is in an entry is of it
+            entry[level] = np.maximum(entry[level], entry[self.parent[level]])
+        np.add.at(marked, page, entry)
         share = lambda a, b: a / np.maximum(b, 1)
-        has = chars > 0
-        x[:, -NUMBERS:] = np.stack([has, np.minimum(np.log1p(chars), 7) / 7, share(links, chars), share(ends, lines), (share(links, chars) > 0.6) * has, np.minimum(np.log1p(all_chars), 9) / 9, share(all_links, all_chars), (all_chars == 0), np.minimum(all_ends, 5) / 5, np.minimum(np.log1p(prose), 8) / 8, prose > 0], 1)
+        has, whole = chars > 0, all_chars[page] if total else chars
+        x[:, -NUMBERS:] = np.stack([
+            has, np.minimum(np.log1p(chars), 7) / 7, share(links, chars), share(ends, lines), (share(links, chars) > 0.6) * has, np.minimum(np.log1p(all_chars), 9) / 9, share(all_links, all_chars), (all_chars == 0), np.minimum(all_ends, 5) / 5,
+            np.minimum(np.log1p(prose), 8) / 8, prose > 0, np.minimum(np.log1p(again), 3) / 3, np.minimum(np.log1p(rows), 3) / 3, share(dated, lines), share(all_dated, all_lines), entry, (rows > 0) * np.minimum(1, 3 * share(all_dated, all_lines)),
+            share(all_chars, whole), has * (x[:, 1 + TAG_AT["html"]] + x[:, 1 + TAG_AT["body"]]), (marked[page] == 0) if total else has,
+        ], 1)
         if (self.label >= 0).any():  # a label holds for the blocks inside
             for level in self.levels[1:]:
                 inherit = self.label[level] < 0
@@ -282,7 +357,7 @@ def train(pages: list[str], steps: int = 500, rate: float = 0.08, decay: float =
     return m
 
 
-def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 800, seed: int = 11) -> list[str]:
     """Invented pages of many layouts, with data-main on their blocks."""
     rnd = random.Random(seed)
     pick, maybe = rnd.choice, lambda p: rnd.random() < p
@@ -300,7 +375,9 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
         out = [f"<h1>{words(3, 14, pick(['', '', '.']))}</h1>"] if maybe(0.8) else []
         for _ in range(rnd.randint(1, 9)):
             p = words(3, 120)
-            if maybe(0.15):
+            if maybe(0.12):
+                p = words(1, 8, "") + f" {date()} " + words(1, 12, pick([".", ""]))
+            elif maybe(0.15):
                 p = words(2, 20) + f' <a href="#">{words(1, 5, "")}</a> ' + words(3, 40)
             kind = rnd.random()
             if kind < 0.7:
@@ -314,7 +391,8 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
             elif kind < 0.91:
                 out.append(f"<pre>{words(4, 30, '')}</pre>")
             elif kind < 0.94:
-                out.append("<table>" + "".join(f"<tr><td>{words(1, 4, '')}</td><td>{words(1, 6, '')}</td></tr>" for _ in range(3)) + "</table>")
+                dates = maybe(0.4)
+                out.append("<table>" + "".join(f"<tr><td>{rnd.randint(1900, 2030) if dates else words(1, 4, '')}</td><td>{words(1, 6, '')}</td></tr>" for _ in range(rnd.randint(2, 6))) + "</table>")
             elif kind < 0.97:
                 out.append(f"<figure><img src=x><figcaption>{words(3, 15)}</figcaption></figure>")
             else:
@@ -378,11 +456,44 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
         plain = tag in ("nav", "header", "footer", "aside", "form")
         return f'<{tag} {attributes if not plain or maybe(0.5) else ""} data-main="0">{inner}</{tag}>'
 
+    def date() -> str:
+        return pick([f"{rnd.randint(1, 28)}.{rnd.randint(1, 12)}.20{rnd.randint(10, 29)}", f"20{rnd.randint(10, 29)}-0{rnd.randint(1, 9)}-1{rnd.randint(0, 9)} 1{rnd.randint(0, 9)}:{rnd.randint(10, 59)}", f"{rnd.randint(2, 20)} hours ago", f"{words(1, 1, '')} {rnd.randint(1, 28)}, 20{rnd.randint(10, 29)}"])
+
+    def thread() -> str:
+        """What readers say, without a name that tells."""
+        tag, inner = pick([("div", "div"), ("section", "div"), ("ul", "li"), ("ol", "li"), ("div", "section"), ("section", "article")])
+        shape = rnd.randint(0, 3)
+        name = pick(["", "", f' class="{"".join(pick("abcdxyz") for _ in range(4))}"'])
+
+        def one() -> str:
+            said = f"<p>{words(3, 70)}</p>" + (f"<p>{words(3, 40)}</p>" if maybe(0.2) else "")
+            reply = f'<a href="#">{words(1, 1, "")}</a>'
+            return [f"<b>{words(1, 2, '')}</b> <span>{date()}</span>{said}{reply}", f"<div>{words(1, 2, '')} {date()}</div>{said}<div>{reply} {reply}</div>", f"<p><b>{words(1, 2, '')}</b>, {date()}</p>{said}", f"<h4>{words(1, 2, '')}</h4><time>{date()}</time><div>{words(3, 70)}</div>{reply}"][shape]
+
+        entries = "".join(f"<{inner}{name}>{one()}{f'<{inner}{name}>{one()}</{inner}>' if maybe(0.1) and inner == 'div' else ''}</{inner}>" for _ in range(rnd.randint(2, 7)))
+        return f'<{tag}{pick(["", f""" id="{words(1, 1, str())}" """])} data-main="0">{"" if maybe(0.6) else f"<h3>{words(1, 3, str())}</h3>"}{entries}</{tag}>'
+
+    def bare() -> str:
+        """A page that is only an article."""
+        kind = rnd.randint(0, 8)
+        p = lambda a=1, b=60: f"<p>{words(a, b, pick(['.', '.', '']))}</p>"
+        inner = [lambda: p(), lambda: p() + p() + p(), lambda: words(1, 80, pick([".", ""])), lambda: f"<div>{words(1, 80, pick(['.', '']))}</div>", lambda: f"<div>{p()}{p()}</div>", lambda: f"<h1>{words(1, 8, '')}</h1>{p()}", body_blocks, lambda: f"<pre>{words(3, 60, '')}</pre>", lambda: "".join(f"<div>{words(3, 60)}</div>" for _ in range(rnd.randint(2, 5)))][kind]()
+        if maybe(0.4):
+            return f"<html data-main=1>{pick([inner, inner, words(2, 80, pick(['.', ''])), words(2, 30) + inner])}"
+        title = f"<head data-main=0><title>{words(1, 6, '')}</title></head>" if maybe(0.6) else ""
+        return f"<html data-main=0>{title}<body data-main=1>{inner}</body></html>"
+
     out = []
     for _ in range(n):
-        before = [junk(k) for k in ("header", "nav", "notice", "ad", "form") if maybe({"nav": 0.8, "header": 0.5}.get(k, 0.35))]
-        after = [junk(k) for k in ("ad", "comments", "side", "footer", "notice", "form") if maybe({"footer": 0.8, "comments": 0.5}.get(k, 0.35))]
+        if maybe(0.22):
+            out.append(bare())
+            continue
+        few = 0.1 if maybe(0.25) else 1
+        before = [junk(k) for k in ("header", "nav", "notice", "ad", "form") if maybe(few * {"nav": 0.8, "header": 0.5}.get(k, 0.35))]
+        after = [junk(k) for k in ("ad", "comments", "side", "footer", "notice", "form") if maybe(few * {"footer": 0.8, "comments": 0.5}.get(k, 0.35))]
         rnd.shuffle(before)
+        if maybe(0.35):
+            after.insert(rnd.randint(0, min(1, len(after))), thread())
         main = article()
         if maybe(0.3):
             main = f'<div class="{pick(["wrapper", "container", "page", "row", "layout"])}">{main}{junk("side") if maybe(0.5) else ""}</div>'
@@ -394,9 +505,16 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
     return out
 
 
+#: Weights that train(labelled_pages()) has found.
+WEIGHTS = Path(__file__).with_name("html_weights.json")
+
+
 @lru_cache(maxsize=1)
 def default_model() -> Model:
-    return train(labelled_pages())
+    if not WEIGHTS.exists():
+        return train(labelled_pages())
+    w = json.loads(WEIGHTS.read_text())
+    return Model(np.array(w["unary"]), np.array(w["pair"]))
 
 
 def texts(pages: list[str], model: Model) -> list[str]:
@@ -422,3 +540,8 @@ def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
     kinds = dict(pages.select("page_id", "url").dtypes)
     return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+
+
+if __name__ == "__main__":
+    fitted = train(labelled_pages())
+    WEIGHTS.write_text(json.dumps({"unary": fitted.unary.round(4).tolist(), "pair": fitted.pair.round(4).tolist()}, indent=0) + "\n")

@@ -60,6 +60,52 @@ def test_layouts_by_name():
     assert op.texts([page], op.default_model()) == ["Title of it\nFirst paragraph of the story, long enough to be one.\nSecond one, which also says a thing or two."]
 
 
+ONE, TWO = "Some longer paragraph of the story, which tells what happened, and why it did so.", "Another paragraph follows here with more words and a second sentence. It ends."
+
+
+def test_pages_that_are_only_an_article():
+    for page, lines in {
+        f"<html><body><p>{ONE}</p></body></html>": [ONE], f"<html><head><title>x</title></head><body><p>{ONE}</p><p>{TWO}</p><p>{ONE}</p></body></html>": [ONE, TWO, ONE], f"<html><body>{ONE}</body></html>": [ONE],
+        f"<html><head><title>x</title></head><body><div>{ONE}</div></body></html>": [ONE], f"<p>{ONE}</p>": [ONE], ONE: [ONE], "<p>Hi</p>": ["Hi"], f"<div><p>{ONE}</p><p>{TWO}</p></div>": [ONE, TWO], f"<html><body><h1>Head</h1><p>{ONE}</p></body></html>": ["Head", ONE],
+    }.items():
+        assert op.texts([page], op.default_model()) == ["\n".join(lines)], page
+
+
+def test_comments_and_notes_without_their_names():
+    story = f"<h1>Head</h1><p>{ONE}</p><p>{TWO}</p>"
+    said = "".join(f"<div><b>{n}</b> <span>{k} hours ago</span><p>{t}</p><a href=#>Reply</a></div>" for n, k, t in (("Ann", 3, "I do not agree with what it says here."), ("Bob", 2, "I liked it a lot, thanks.")))
+    for page in (
+        f'<html><body><article>{story}</article><section id="responses"><h3>Responses</h3><div><b>Ann</b><p>I do not agree with it.</p></div><div><b>Bob</b><p>I liked it.</p></div></section></body></html>',
+        f"<html><body><article>{story}</article><div>{said}</div></body></html>", f"<html><body><nav><a href=/>Home</a></nav><div>{story}</div><section>{said}</section></body></html>",
+        f'<html><body><div class="content"><div class="hatnote">This is about the town. For the river see elsewhere.</div>{story}</div></body></html>', f'<html><body><article><div role="note">This is about the town.</div>{story}</article></body></html>',
+    ):
+        assert op.texts([page], op.default_model()) == [f"Head\n{ONE}\n{TWO}"], page
+
+
+def test_embedded_elements():
+    lines = lambda page: [t for _, t, _ in op.Tree(page).lines]
+    assert lines("<canvas id=c><p>a</p><p>b</p>") == ["a", "b"]
+    assert lines("<p>a</p><object><object>x</object>y</object><p>b</p>") == ["a", "b"]
+    assert lines("<div><canvas>no</div><p>a</p><div><canvas>no</canvas></div>b") == ["a", "b"]
+    assert lines("<p>a <svg><text>x</text><path/></svg>b</p><template><p>x</p></template><noscript><img></noscript>c") == ["a b", "c"]
+    assert lines("<video><script>'</video>'</script>x</video>a") == ["a"]
+    assert lines("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>") == ["so x=1"]
+    assert lines("<SVG/>a<object/>b") == ["ab"]
+
+
+def test_hostile_markup():
+    many = 30_000
+    assert [t for _, t, _ in op.Tree("<div>" * many + "</x>" * many + "a" + "</p>" * many).lines] == ["a"]
+    assert len(op.Tree("<canvas>" * many + "<p>a").lines) == 1
+    assert [t for _, t, _ in op.Tree("<ul>" * 5000 + "<li>a" * 5000).lines] == ["a"] * 5000
+    assert op.texts(["<div>" * many + "<p>" + ONE], op.default_model()) == [ONE]
+
+
+def test_weights_are_those_of_training():
+    f, m = op.Forest(op.labelled_pages(50, seed=5)), op.train(op.labelled_pages())
+    assert np.abs(m.marginals(f) - op.default_model().marginals(f)).max() < 0.05
+
+
 def test_nulls_repeats_and_long_pages(spark):
     long = "<article>" + "<p>Some words that make a line of text.</p>" * 20000 + "</article>"
     deep = "<div>" * 3000 + "<p>x" + "</div>" * 3000

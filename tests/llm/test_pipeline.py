@@ -26,10 +26,10 @@ def test_stages_one_by_one(spark, sf):
     clean = stages["decontaminate"](spark, docs, sf)
     assert {r.doc_id for r in clean.collect()} == {d for d, t in rows if not any(i in t for i in items)}
 
-    mixed = Counter(r.doc_id for r in stages["mixing"](spark, docs, sf).collect())
     from loomstat.llm import mixing
 
-    assert mixed == Counter({r.doc_id: r.taken // r["size"] for r in mixing.mix(docs).collect() if r["size"]} | {r.doc_id: 1 for r in mixing.mix(docs).collect() if not r["size"]})
+    mixed = Counter(r.doc_id for r in stages["mixing"](spark, docs, sf).collect())
+    assert mixed == +Counter({d: k // n if n else 1 for d, n, _, _, k in mixing.brute_force([(r.doc_id, r.text, r.source) for r in docs.collect()])})
     assert max(mixed.values()) <= 3
 
     assert [tuple(r) for r in stages["tokens"](spark, docs, sf).orderBy("doc_id").collect()] == token_output.brute_force(rows)
