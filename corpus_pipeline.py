@@ -43,10 +43,9 @@ def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it. Documents without words weigh nothing and stay as they are."""
-    times = mixing.epochs(docs).where("size > 0").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("__kd"), F.col("h").alias("__h"), "times").distinct()
-    keyed = docs.withColumns({"__kd": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "__h": mixing.order_of()})
-    rows = keyed.join(times, ["__kd", "__h"], "left").withColumn("times", F.coalesce("times", F.lit(1).cast("long")))
-    return rows.where("times > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("__n")).select(*docs.columns)
+    times = F.when(F.col("__size") > 0, F.col("__times")).otherwise(1)
+    rows = mixing.epochs(docs).withColumn("__times", times).where("__times > 0")
+    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "__times")).alias("__n")).select(*docs.columns)
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
