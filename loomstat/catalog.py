@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from .functions import columns as C
 from .functions import distributions as D
 from .operators import cluster, permute, signals, significance, spatial
-from .operators.linkage import cut_height
 from .plans import fixtures as X
 from .plans import pipeline
 from .tables import written
@@ -30,16 +29,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def _whole(name: str) -> None:
-    f = _queries[name]
-
-    def run(spark, sf):
-        return f(spark, sf, None)
-
-    run.__name__ = f"{name}_all"
-    query()(run)
-
-
 def queries() -> dict[str, Query]:
     return dict(_queries)
 
@@ -102,10 +91,10 @@ def tri_inverse(spark, sf):
     return spark.range(n * (n - 1) // 2).select(F.col("id").alias("k"), i.alias("i"), j.alias("j"))
 
 
-@query(X.with_("points") + f"""SELECT i, j, round(r, 6) AS r FROM (SELECT i, j, r FROM ({_CORR}) UNION ALL SELECT j, i, r FROM ({_CORR}) UNION ALL SELECT DISTINCT vox, vox, 1.0 FROM points) WHERE i < 60 AND j < 60""")
-def tri_full_matrix(spark, sf, n=60):
-    n = X.signals(spark, sf).count() if n is None else n
-    return signals.full_matrix(signals.correlate(X.signals(spark, sf).where(F.col("vox") < n)), n).withColumn("r", _r6())
+@query(X.with_("points") + f"""SELECT i, j, round(r, 6) AS r FROM (SELECT i, j, r FROM ({_CORR}) UNION ALL SELECT j, i, r FROM ({_CORR}) UNION ALL SELECT DISTINCT vox, vox, 1.0 FROM points)""")
+def tri_full_matrix(spark, sf):
+    s = X.signals(spark, sf)
+    return signals.full_matrix(signals.correlate(s), s.count()).withColumn("r", _r6())
 
 
 @query("""WITH n AS (SELECT count(*) AS n FROM embeddings), b AS (SELECT unnest(range((n + 63) // 64)) AS b, n FROM n)
@@ -127,9 +116,16 @@ def matrix_compare(spark, sf):
     return signals.compare(a, b, 1e-9).agg(F.count("*").alias("differing"))
 
 
-@query(X.with_("points") + f"SELECT i, j, round(r, 6) AS r FROM ({_CORR}) WHERE abs(r) >= 1 OR r = 0")
+# A signal without variance, and two that are equal.
+@query(X.with_("points", more={
+    "p": "SELECT vox, t, CASE vox WHEN 0 THEN 1 ELSE x END AS x FROM points WHERE vox <> 1 UNION ALL SELECT 1, t, x FROM points WHERE vox = 2",
+    "c": "SELECT a.vox AS i, b.vox AS j, CASE WHEN stddev_pop(a.x) = 0 OR stddev_pop(b.x) = 0 THEN 0 ELSE round(corr(a.x, b.x), 6) END AS r FROM p a JOIN p b ON a.t = b.t AND a.vox < b.vox GROUP BY ALL",
+}) + "SELECT i, j, r FROM c WHERE abs(r) >= 1 OR r = 0")
 def corr_suspicious(spark, sf):
-    return signals.suspicious(signals.correlate(X.signals(spark, sf))).withColumn("r", _r6())
+    s = X.signals(spark, sf).select("vox", "ts")
+    flat = F.when(F.col("vox") == 0, F.transform("ts", lambda _: F.lit(1.0))).otherwise(F.col("ts"))
+    planted = s.where("vox <> 1").withColumn("ts", flat).unionByName(s.where("vox = 2").withColumn("vox", F.lit(1).cast("long")))
+    return signals.suspicious(signals.correlate(planted).withColumn("r", _r6()))
 
 
 # Permutation tests ---------------------------------------------------------------------------------------
@@ -174,9 +170,15 @@ def perm_unique(spark, sf):
     return X.permutations(spark).select("perm", F.array_join("a", ",").alias("a")).groupBy("a").agg(F.min("perm").alias("perm"))
 
 
-@query()
+# What must hold of random permutations: as many as asked, all different, each half of the subjects, in order.
+@query("SELECT 500::BIGINT AS n, 500::BIGINT AS n_distinct, 10 AS least, 10 AS most, 0 AS first, 19 AS last, 500::BIGINT AS sorted, 0::BIGINT AS repeated")
 def perm_random(spark, sf):
-    return permute.random_permutations(spark, 10, 10, 500, seed=3).select("perm", F.array_join("a", ",").alias("a"))
+    p = permute.random_permutations(spark, 10, 10, 500, seed=3)
+    size, whole = F.size("a"), F.col("a").cast("array<int>")
+    return p.agg(
+        F.count("*").alias("n"), F.countDistinct("a").alias("n_distinct"), F.min(size).alias("least"), F.max(size).alias("most"), F.min(F.array_min(whole)).alias("first"), F.max(F.array_max(whole)).alias("last"),
+        F.sum((F.sort_array("a") == F.col("a")).cast("long")).alias("sorted"), F.sum((F.size(F.array_distinct("a")) < size).cast("long")).alias("repeated"),
+    )
 
 
 @query(X.with_("conn") + "SELECT event_type, h, array_to_string(list(value ORDER BY subj), ',') AS vals FROM conn GROUP BY ALL")
@@ -187,49 +189,49 @@ def subject_alignment(spark, sf):
 # Significance --------------------------------------------------------------------------------------------
 
 
-@query(X.with_("alledges") + "SELECT count(*) AS n, round(min(pvalue), 9) AS min, round(max(pvalue), 9) AS max, round(sum(pvalue), 4) AS sum, round(sum(pvalue * pvalue), 4) AS sum_sq, round(avg(pvalue), 9) AS mean, round(stddev_pop(pvalue), 6) AS std FROM alledges")
+@query(X.with_("edges") + "SELECT count(*) AS n, round(min(pvalue), 9) AS min, round(max(pvalue), 9) AS max, round(sum(pvalue), 4) AS sum, round(sum(pvalue * pvalue), 4) AS sum_sq, round(avg(pvalue), 9) AS mean, round(stddev_pop(pvalue), 6) AS std FROM edges")
 def pval_summary(spark, sf):
-    s = significance.summary(X.edges(spark, sf, None))
+    s = significance.summary(X.edges(spark, sf))
     return s.select("n", *(F.round(c, d).alias(c) for c, d in (("min", 9), ("max", 9), ("sum", 4), ("sum_sq", 4), ("mean", 9), ("std", 6))))
 
 
-@query(X.with_("alledges") + "SELECT t AS threshold, count(*) FILTER (WHERE pvalue < t) AS n, round(100.0 * count(*) FILTER (WHERE pvalue < t) / count(*), 6) AS percent FROM alledges CROSS JOIN (SELECT unnest([0.05, 0.01, 0.001, 0.0005, 0.0001])::DOUBLE AS t) GROUP BY t")
+@query(X.with_("edges") + "SELECT t AS threshold, count(*) FILTER (WHERE pvalue < t) AS n, round(100.0 * count(*) FILTER (WHERE pvalue < t) / count(*), 6) AS percent FROM edges CROSS JOIN (SELECT unnest([0.05, 0.01, 0.001, 0.0005, 0.0001])::DOUBLE AS t) GROUP BY t")
 def pval_thresholds(spark, sf):
-    return significance.threshold_counts(X.edges(spark, sf, None)).withColumn("percent", F.round("percent", 6))
+    return significance.threshold_counts(X.edges(spark, sf)).withColumn("percent", F.round("percent", 6))
 
 
-@query(X.with_("alledges") + """, r AS (SELECT pvalue, row_number() OVER (ORDER BY pvalue) - 1 AS k, count(*) OVER () AS n FROM alledges)
+@query(X.with_("edges") + """, r AS (SELECT pvalue, row_number() OVER (ORDER BY pvalue) - 1 AS k, count(*) OVER () AS n FROM edges)
     SELECT d::INT AS decile, round(pvalue, 9) AS value FROM r JOIN (SELECT unnest(range(11)) AS d) ON k = least(n - 1, floor(n * (d / 10))::BIGINT)""")
 def pval_deciles(spark, sf):
-    return significance.deciles(X.edges(spark, sf, None)).withColumn("value", F.round("value", 9))
+    return significance.deciles(X.edges(spark, sf)).withColumn("value", F.round("value", 9))
 
 
-@query(X.with_("alledges") + "SELECT count(*) AS n, count(*) FILTER (WHERE pvalue = 0) AS zeros, count(*) FILTER (WHERE pvalue = 1) AS ones, round(min(pvalue), 9) AS min, round(max(pvalue), 9) AS max, CASE WHEN count(*) FILTER (WHERE pvalue = 0) = 0 AND min(pvalue) >= 1 / 1002 * (1 - 1e-6) AND max(pvalue) <= 1 THEN 'pass' ELSE 'fail' END AS verdict FROM alledges")
+@query(X.with_("edges") + "SELECT count(*) AS n, count(*) FILTER (WHERE pvalue = 0) AS zeros, count(*) FILTER (WHERE pvalue = 1) AS ones, round(min(pvalue), 9) AS min, round(max(pvalue), 9) AS max, CASE WHEN count(*) FILTER (WHERE pvalue = 0) = 0 AND min(pvalue) >= 1 / 1002 * (1 - 1e-6) AND max(pvalue) <= 1 THEN 'pass' ELSE 'fail' END AS verdict FROM edges")
 def pval_verdict(spark, sf):
-    return significance.verdict(X.edges(spark, sf, None), 1001).withColumns({c: F.round(c, 9) for c in ("min", "max")})
+    return significance.verdict(X.edges(spark, sf), 1001).withColumns({c: F.round(c, 9) for c in ("min", "max")})
 
 
 _HIST = """, b AS (SELECT b, pow(10.0, b * 20.0 / 400 - 20) AS l, pow(10.0, (b + 1) * 20.0 / 400 - 20) AS r FROM (SELECT unnest(range(400)) AS b)),
-    v AS (SELECT pvalue, count(*) AS n FROM alledges GROUP BY pvalue),
+    v AS (SELECT pvalue, count(*) AS n FROM edges GROUP BY pvalue),
     hist AS (SELECT b AS bin, l AS left_, r AS right_, sum(n)::BIGINT AS count FROM v JOIN b ON (pvalue > l OR b = 0) AND (pvalue <= r OR b = 399) GROUP BY ALL)
 """
 
 
 def _hist(spark, sf):
-    return significance.log_histogram(X.edges(spark, sf, None), bins=400)
+    return significance.log_histogram(X.edges(spark, sf), bins=400)
 
 
-@query(X.with_("alledges") + _HIST + 'SELECT bin, round(left_, 12) AS "left", round(right_, 12) AS "right", count FROM hist')
+@query(X.with_("edges") + _HIST + 'SELECT bin, round(left_, 12) AS "left", round(right_, 12) AS "right", count FROM hist')
 def pval_log_hist(spark, sf):
     return _hist(spark, sf).withColumns({c: F.round(c, 12) for c in ("left", "right")})
 
 
-@query(X.with_("alledges") + _HIST + "SELECT p AS percent, round(min(right_), 9) AS value FROM (SELECT *, sum(count) OVER (ORDER BY bin) AS cum, sum(count) OVER () AS n FROM hist) JOIN (SELECT unnest([1, 5, 10, 15, 20])::DOUBLE AS p) ON cum >= ceil(n * p / 100) GROUP BY p")
+@query(X.with_("edges") + _HIST + "SELECT p AS percent, round(min(right_), 9) AS value FROM (SELECT *, sum(count) OVER (ORDER BY bin) AS cum, sum(count) OVER () AS n FROM hist) JOIN (SELECT unnest([1, 5, 10, 15, 20])::DOUBLE AS p) ON cum >= ceil(n * p / 100) GROUP BY p")
 def pval_hist_percentiles(spark, sf):
     return significance.histogram_percentiles(_hist(spark, sf)).withColumn("value", F.round("value", 9))
 
 
-@query(X.with_("alledges") + _HIST + "SELECT bin, count, round(count / (sum(count) OVER () * (right_ - left_)), 6) AS density, (sum(count) OVER (ORDER BY bin))::BIGINT AS cumulative, round(100.0 * sum(count) OVER (ORDER BY bin) / sum(count) OVER (), 6) AS cumulative_pct FROM hist")
+@query(X.with_("edges") + _HIST + "SELECT bin, count, round(count / (sum(count) OVER () * (right_ - left_)), 6) AS density, (sum(count) OVER (ORDER BY bin))::BIGINT AS cumulative, round(100.0 * sum(count) OVER (ORDER BY bin) / sum(count) OVER (), 6) AS cumulative_pct FROM hist")
 def pval_hist_cum(spark, sf):
     return significance.running(_hist(spark, sf)).select("bin", "count", F.round("density", 6).alias("density"), "cumulative", F.round("cumulative_pct", 6).alias("cumulative_pct"))
 
@@ -237,85 +239,85 @@ def pval_hist_cum(spark, sf):
 _P9 = "round(pvalue, 9) AS pvalue, tstat"
 
 
-@query(X.with_("alledges") + f"SELECT edge_id, i1, j1, k1, i2, j2, k2, {_P9} FROM alledges WHERE pvalue < 0.05")
+@query(X.with_("edges") + f"SELECT edge_id, i1, j1, k1, i2, j2, k2, {_P9} FROM edges WHERE pvalue < 0.05")
 def significant_edges(spark, sf):
-    return X.edges(spark, sf, None).where(C.below(F.col("pvalue"), 0.05)).withColumn("pvalue", F.round("pvalue", 9))
+    return X.edges(spark, sf).where(C.below(F.col("pvalue"), 0.05)).withColumn("pvalue", F.round("pvalue", 9))
 
 
-@query(X.with_("alledges") + "SELECT edge_id, tstat FROM alledges WHERE tstat > 0 OR tstat = 0")
+@query(X.with_("edges") + "SELECT edge_id, tstat FROM edges WHERE tstat > 0 OR tstat = 0")
 def split_pos(spark, sf):
-    return X.edges(spark, sf, None).where(C.positive_side(F.col("tstat"))).select("edge_id", "tstat")
+    return X.edges(spark, sf).where(C.positive_side(F.col("tstat"))).select("edge_id", "tstat")
 
 
-@query(X.with_("alledges") + "SELECT edge_id, tstat FROM alledges WHERE tstat < 0 OR tstat = 0")
+@query(X.with_("edges") + "SELECT edge_id, tstat FROM edges WHERE tstat < 0 OR tstat = 0")
 def split_neg(spark, sf):
-    return X.edges(spark, sf, None).where(C.negative_side(F.col("tstat"))).select("edge_id", "tstat")
+    return X.edges(spark, sf).where(C.negative_side(F.col("tstat"))).select("edge_id", "tstat")
 
 
-@query(X.with_("alledges") + "SELECT edge_id, tstat FROM (SELECT *, rank() OVER (ORDER BY tstat DESC) AS k FROM alledges) WHERE k <= 100")
+@query(X.with_("edges") + "SELECT edge_id, tstat FROM (SELECT *, rank() OVER (ORDER BY tstat DESC) AS k FROM edges) WHERE k <= 100")
 def top_tstat(spark, sf):
-    return significance.top_tstat(X.edges(spark, sf, None), 100).select("edge_id", "tstat")
+    return significance.top_tstat(X.edges(spark, sf), 100).select("edge_id", "tstat")
 
 
-@query(X.with_("alledges") + "SELECT edge_id, tstat FROM alledges WHERE tstat >= 0.9")
+@query(X.with_("edges") + "SELECT edge_id, tstat FROM edges WHERE tstat >= 0.9")
 def tstat_ge(spark, sf):
-    return significance.top_tstat(X.edges(spark, sf, None), threshold=0.9).select("edge_id", "tstat")
+    return significance.top_tstat(X.edges(spark, sf), threshold=0.9).select("edge_id", "tstat")
 
 
-@query(X.with_("alledges") + "SELECT edge_id, printf('%.6f', pvalue) AS p, printf('%.6f', tstat) AS t FROM alledges")
+@query(X.with_("edges") + "SELECT edge_id, printf('%.6f', pvalue) AS p, printf('%.6f', tstat) AS t FROM edges")
 def decimal_format(spark, sf):
-    return X.edges(spark, sf, None).select("edge_id", C.decimals(F.col("pvalue")).alias("p"), C.decimals(F.col("tstat")).alias("t"))
+    return X.edges(spark, sf).select("edge_id", C.decimals(F.col("pvalue")).alias("p"), C.decimals(F.col("tstat")).alias("t"))
 
 
-@query(X.with_("alledges") + "SELECT edge_id, CASE WHEN tstat > 0.01 THEN 1 ELSE 0 END AS above FROM alledges")
+@query(X.with_("edges") + "SELECT edge_id, CASE WHEN tstat > 0.01 THEN 1 ELSE 0 END AS above FROM edges")
 def binarise(spark, sf):
-    return X.edges(spark, sf, None).select("edge_id", F.when(F.col("tstat") > 0.01, 1).otherwise(0).alias("above"))
+    return X.edges(spark, sf).select("edge_id", F.when(F.col("tstat") > 0.01, 1).otherwise(0).alias("above"))
 
 
-@query(X.with_("alledges") + "SELECT round(avg(CASE WHEN i1 < 20 AND j1 < 20 THEN tstat END), 9) AS inside, round(avg(CASE WHEN NOT (i1 < 20 AND j1 < 20) THEN tstat END), 9) AS outside FROM alledges")
+@query(X.with_("edges") + "SELECT round(avg(CASE WHEN i1 < 20 AND j1 < 20 THEN tstat END), 9) AS inside, round(avg(CASE WHEN NOT (i1 < 20 AND j1 < 20) THEN tstat END), 9) AS outside FROM edges")
 def block_mean(spark, sf):
     inside = (F.col("i1") < 20) & (F.col("j1") < 20)
-    return X.edges(spark, sf, None).agg(F.round(F.avg(F.when(inside, F.col("tstat"))), 9).alias("inside"), F.round(F.avg(F.when(~inside, F.col("tstat"))), 9).alias("outside"))
+    return X.edges(spark, sf).agg(F.round(F.avg(F.when(inside, F.col("tstat"))), 9).alias("inside"), F.round(F.avg(F.when(~inside, F.col("tstat"))), 9).alias("outside"))
 
 
 # Edges, bundles, pruning ---------------------------------------------------------------------------------
 
 
-@query(X.with_("alledges") + "SELECT edge_id, 1 AS side, i1 AS i, j1 AS j, k1 AS k FROM alledges UNION ALL SELECT edge_id, 2, i2, j2, k2 FROM alledges")
+@query(X.with_("edges") + "SELECT edge_id, 1 AS side, i1 AS i, j1 AS j, k1 AS k FROM edges UNION ALL SELECT edge_id, 2, i2, j2, k2 FROM edges")
 def edge_endpoints(spark, sf):
-    return spatial.endpoints(X.edges(spark, sf, None))
+    return spatial.endpoints(X.edges(spark, sf))
 
 
-@query(X.with_("alledges") + "SELECT i1 AS i, j1 AS j, k1 AS k FROM alledges UNION SELECT i2, j2, k2 FROM alledges")
+@query(X.with_("edges") + "SELECT i1 AS i, j1 AS j, k1 AS k FROM edges UNION SELECT i2, j2, k2 FROM edges")
 def distinct_voxels(spark, sf):
-    return spatial.voxels(X.edges(spark, sf, None))
+    return spatial.voxels(X.edges(spark, sf))
 
 
 @query(X.with_("iso") + "SELECT edge_id FROM iso")
-def isolation_filter(spark, sf, n=X.EDGES):
-    return spatial.filter_isolated(X.edges(spark, sf, n)).select("edge_id")
+def isolation_filter(spark, sf):
+    return spatial.filter_isolated(X.edges(spark, sf)).select("edge_id")
 
 
-def _iso(spark, sf, n=X.EDGES):
-    return written(spatial.filter_isolated(X.edges(spark, sf, n)), "iso")
+def _iso(spark, sf):
+    return written(spatial.filter_isolated(X.edges(spark, sf)), "iso")
 
 
 @query(X.with_("comp") + "SELECT i, j, k, (root // 1000000)::INT AS ri, (root // 1000 % 1000)::INT AS rj, (root % 1000)::INT AS rk FROM comp JOIN vox USING (v)")
-def voxel_components(spark, sf, n=X.EDGES):
-    return spatial.voxel_components(_iso(spark, sf, n)).select("i", "j", "k", F.col("root.i").alias("ri"), F.col("root.j").alias("rj"), F.col("root.k").alias("rk"))
+def voxel_components(spark, sf):
+    return spatial.voxel_components(_iso(spark, sf)).select("i", "j", "k", F.col("root.i").alias("ri"), F.col("root.j").alias("rj"), F.col("root.k").alias("rk"))
 
 
-@query(X.with_("iso", "ends") + """, near AS (SELECT DISTINCT x.edge_id AS a, y.edge_id AS b FROM ends x JOIN ends y ON x.edge_id <> y.edge_id AND greatest(abs(x.i - y.i), abs(x.j - y.j), abs(x.k - y.k)) <= 1),
+@query(X.with_("iso", "ends") + """, near AS (SELECT DISTINCT x.edge_id AS a, y.edge_id AS b FROM ends x JOIN ends y ON x.g = y.g AND x.edge_id <> y.edge_id AND greatest(abs(x.i - y.i), abs(x.j - y.j), abs(x.k - y.k)) <= 1),
     walk AS (SELECT edge_id AS e, edge_id AS root FROM iso UNION SELECT near.b, walk.root FROM walk JOIN near ON walk.e = near.a),
     least AS (SELECT e, min(root) AS root FROM walk GROUP BY e)
     SELECT e AS edge_id, dense_rank() OVER (ORDER BY root) - 1 AS component FROM least""")
-def edge_components(spark, sf, n=X.EDGES):
-    return spatial.edge_components(_iso(spark, sf, n))
+def edge_components(spark, sf):
+    return spatial.edge_components(_iso(spark, sf))
 
 
 @query(X.with_("bundles") + "SELECT edge_id, bundle FROM bundles")
-def bundle_cc(spark, sf, n=X.EDGES):
-    return spatial.bundle_cc(_iso(spark, sf, n)).select("edge_id", "bundle")
+def bundle_cc(spark, sf):
+    return spatial.bundle_cc(_iso(spark, sf)).select("edge_id", "bundle")
 
 
 @query(X.with_("iso") + """, o AS (SELECT edge_id, i1 AS si, j1 AS sj, k1 AS sk, i2 AS i, j2 AS j, k2 AS k FROM iso UNION ALL SELECT edge_id, i2, j2, k2, i1, j1, k1 FROM iso),
@@ -323,18 +325,23 @@ def bundle_cc(spark, sf, n=X.EDGES):
     walk AS (SELECT edge_id AS e, edge_id AS root FROM iso UNION SELECT near.b, walk.root FROM walk JOIN near ON walk.e = near.a),
     least AS (SELECT e, min(root) AS root FROM walk GROUP BY e)
     SELECT e AS edge_id, (dense_rank() OVER (ORDER BY n DESC, root) - 1)::INT AS bundle FROM (SELECT e, root, count(*) OVER (PARTITION BY root) AS n FROM least)""")
-def bundle_strict(spark, sf, n=X.EDGES):
-    return spatial.bundle_strict(_iso(spark, sf, n)).select("edge_id", "bundle")
+def bundle_strict(spark, sf):
+    return spatial.bundle_strict(_iso(spark, sf)).select("edge_id", "bundle")
+
+
+def _large(spark, sf):
+    """Bundles of three edges or more."""
+    return written(spatial.drop_small(spatial.bundle_cc(_iso(spark, sf)), 3), "large")
 
 
-@query(X.with_("bundles") + "SELECT edge_id, (dense_rank() OVER (ORDER BY n DESC, bundle) - 1)::INT AS bundle FROM (SELECT *, count(*) OVER (PARTITION BY bundle) AS n FROM bundles) WHERE n >= 3")
-def drop_small(spark, sf, n=X.EDGES):
-    return spatial.drop_small(spatial.bundle_cc(_iso(spark, sf, n)), 3).select("edge_id", "bundle")
+@query(X.with_("large") + "SELECT edge_id, bundle FROM large")
+def drop_small(spark, sf):
+    return _large(spark, sf).select("edge_id", "bundle")
 
 
-@query(X.with_("alledges") + "SELECT edge_id, (dense_rank() OVER (ORDER BY n DESC, g) - 1)::INT AS g FROM (SELECT edge_id, i1 AS g, count(*) OVER (PARTITION BY i1) AS n FROM alledges)")
+@query(X.with_("edges") + "SELECT edge_id, (dense_rank() OVER (ORDER BY n DESC, g) - 1)::INT AS g FROM (SELECT edge_id, i1 AS g, count(*) OVER (PARTITION BY i1) AS n FROM edges)")
 def relabel_by_size(spark, sf):
-    return spatial.relabel(X.edges(spark, sf, None).select("edge_id", F.col("i1").alias("g")), "g")
+    return spatial.relabel(X.edges(spark, sf).select("edge_id", F.col("i1").alias("g")), "g")
 
 
 def _prune_sql(rounds: int = 8) -> str:
@@ -346,118 +353,109 @@ def _prune_sql(rounds: int = 8) -> str:
 
 
 @query(_prune_sql() + "SELECT edge_id, (dense_rank() OVER (ORDER BY n DESC, bundle) - 1)::INT AS bundle FROM (SELECT *, count(*) OVER (PARTITION BY bundle) AS n FROM r8)")
-def prune_isolated_fixpoint(spark, sf, n=X.EDGES):
-    return spatial.prune_isolated(spatial.bundle_cc(_iso(spark, sf, n))).select("edge_id", "bundle")
+def prune_isolated_fixpoint(spark, sf):
+    return spatial.prune_isolated(spatial.bundle_cc(_iso(spark, sf))).select("edge_id", "bundle")
 
 
 @query(X.with_("bundled", more={
-    "gv": "SELECT DISTINCT bundle, i, j, k, i * 1000000 + j * 1000 + k AS v FROM (SELECT bundle, i1 AS i, j1 AS j, k1 AS k FROM bundled UNION ALL SELECT bundle, i2, j2, k2 FROM bundled)",
+    "gv": "SELECT DISTINCT bundle, i, j, k, i::BIGINT * 1000000 + j * 1000 + k AS v FROM (SELECT bundle, i1 AS i, j1 AS j, k1 AS k FROM bundled UNION ALL SELECT bundle, i2, j2, k2 FROM bundled)",
     "ga": "SELECT a.bundle, a.v AS a, b.v AS b FROM gv a JOIN gv b ON a.bundle = b.bundle AND a.v <> b.v AND greatest(abs(a.i - b.i), abs(a.j - b.j), abs(a.k - b.k)) <= 1",
     "gr": "SELECT bundle, v, v AS root FROM gv UNION SELECT ga.bundle, ga.b, gr.root FROM gr JOIN ga ON gr.bundle = ga.bundle AND gr.v = ga.a",
     "gc": "SELECT bundle, v, min(root) AS root FROM gr GROUP BY ALL",
     "small": "SELECT bundle, v FROM (SELECT *, count(*) OVER (PARTITION BY bundle, root) AS n FROM gc) WHERE n < 3",
-    "left_": "SELECT * FROM bundled b WHERE NOT EXISTS (SELECT 1 FROM small s WHERE s.bundle = b.bundle AND s.v IN (i1 * 1000000 + j1 * 1000 + k1, i2 * 1000000 + j2 * 1000 + k2))",
+    "left_": "SELECT * FROM bundled b WHERE NOT EXISTS (SELECT 1 FROM small s WHERE s.bundle = b.bundle AND s.v IN (i1::BIGINT * 1000000 + j1 * 1000 + k1, i2::BIGINT * 1000000 + j2 * 1000 + k2))",
 }) + "SELECT edge_id, (dense_rank() OVER (ORDER BY n DESC, bundle) - 1)::INT AS bundle FROM (SELECT *, count(*) OVER (PARTITION BY bundle) AS n FROM left_)")
-def prune_endpoint_clusters(spark, sf, n=X.EDGES):
-    return spatial.prune_small_clusters(spatial.bundle_cc(_iso(spark, sf, n))).select("edge_id", "bundle")
+def prune_endpoint_clusters(spark, sf):
+    return spatial.prune_small_clusters(spatial.bundle_cc(_iso(spark, sf))).select("edge_id", "bundle")
 
 
 _D12 = "sqrt(pow(a.i1 - b.i1, 2) + pow(a.j1 - b.j1, 2) + pow(a.k1 - b.k1, 2)) AS d1, sqrt(pow(a.i2 - b.i2, 2) + pow(a.j2 - b.j2, 2) + pow(a.k2 - b.k2, 2)) AS d2"
 
 
 def _edge_dist(flag: str, expr: str) -> None:
-    def run(spark, sf, n=X.EDGES):
-        return cluster.edge_pairs(X.edges(spark, sf, n), flag).withColumn("dist", F.round("dist", 6))
+    def run(spark, sf):
+        return cluster.edge_pairs(X.lines(spark, sf), flag).withColumn("dist", F.round("dist", 6))
 
     run.__name__ = f"edge_dist_{flag}"
-    query(X.with_("edges") + f"SELECT a, b, round({expr}, 6) AS dist FROM (SELECT a.edge_id AS a, b.edge_id AS b, {_D12} FROM edges a JOIN edges b ON a.edge_id < b.edge_id)")(run)
+    query(X.with_("lines") + f"SELECT a, b, round({expr}, 6) AS dist FROM (SELECT a.edge_id AS a, b.edge_id AS b, {_D12} FROM lines a JOIN lines b ON a.edge_id < b.edge_id)")(run)
 
 
 for _flag, _expr in (("max", "greatest(d1, d2)"), ("min", "least(d1, d2)"), ("mean", "(d1 + d2) / 2")):
     _edge_dist(_flag, _expr)
 
 
-@query(X.with_("bundled") + f"SELECT a, b, round(min(least(d1, d2)), 6) AS dist FROM (SELECT a.bundle AS a, b.bundle AS b, {_D12} FROM bundled a JOIN bundled b ON a.bundle < b.bundle) GROUP BY ALL")
-def bundle_min_dist(spark, sf, n=X.EDGES):
-    return cluster.bundle_distances(spatial.bundle_cc(_iso(spark, sf, n))).withColumn("dist", F.round("dist", 6))
+@query(X.with_("large") + f"SELECT a, b, round(min(least(d1, d2)), 6) AS dist FROM (SELECT a.bundle AS a, b.bundle AS b, {_D12} FROM large a JOIN large b ON a.bundle < b.bundle) GROUP BY ALL")
+def bundle_min_dist(spark, sf):
+    return cluster.bundle_distances(_large(spark, sf)).withColumn("dist", F.round("dist", 6))
 
 
 @query(X.with_("bundled") + f"SELECT bundle, round(max(least(d1, d2)), 6) AS maxmin FROM (SELECT a.bundle AS bundle, {_D12} FROM bundled a JOIN bundled b ON a.bundle = b.bundle) GROUP BY ALL")
-def bundle_maxmin(spark, sf, n=X.EDGES):
-    return cluster.maxmin(spatial.bundle_cc(_iso(spark, sf, n))).withColumn("maxmin", F.round("maxmin", 6))
+def bundle_maxmin(spark, sf):
+    return cluster.maxmin(spatial.bundle_cc(_iso(spark, sf))).withColumn("maxmin", F.round("maxmin", 6))
 
 
 @query(X.with_("bundled") + f"SELECT bundle, round(max(d), 6) AS maxmin FROM (SELECT bundle, e, min(least(d1, d2)) AS d FROM (SELECT a.bundle AS bundle, a.edge_id AS e, {_D12} FROM bundled a JOIN bundled b ON a.bundle = b.bundle AND a.edge_id <> b.edge_id) GROUP BY ALL) GROUP BY ALL")
-def bundle_maxmin_edges(spark, sf, n=X.EDGES):
-    return cluster.maxmin(spatial.bundle_cc(_iso(spark, sf, n)), form="edges").withColumn("maxmin", F.round("maxmin", 6))
+def bundle_maxmin_edges(spark, sf):
+    return cluster.maxmin(spatial.bundle_cc(_iso(spark, sf)), form="edges").withColumn("maxmin", F.round("maxmin", 6))
 
 
 @query(X.with_("bundled") + "SELECT bundle, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in _ENDS6) + " FROM bundled GROUP BY bundle")
-def bundle_centroid(spark, sf, n=X.EDGES):
-    return spatial.centroids(spatial.bundle_cc(_iso(spark, sf, n)), "bundle").select("bundle", *(F.round(c, 6).alias(c) for c in _ENDS6))
+def bundle_centroid(spark, sf):
+    return spatial.centroids(spatial.bundle_cc(_iso(spark, sf)), "bundle").select("bundle", *(F.round(c, 6).alias(c) for c in _ENDS6))
 
 
-@query(X.with_("bundled", "edges", more={"c": "SELECT bundle, " + ", ".join(f"avg({c}) AS {c}" for c in _ENDS6) + " FROM bundled WHERE bundle < 6 GROUP BY bundle"})
+@query(X.with_("large", "edges", more={"c": "SELECT bundle, " + ", ".join(f"avg({c}) AS {c}" for c in _ENDS6) + " FROM large GROUP BY bundle"})
        + "SELECT e.edge_id, arg_min(c.bundle, {'d': round(" + " + ".join(f"pow(e.{c} - c.{c}, 2)" for c in _ENDS6) + ", 9), 'b': c.bundle}) AS bundle FROM edges e CROSS JOIN c GROUP BY e.edge_id")
-def nearest_centroid(spark, sf, n=X.EDGES):
-    bundles = spatial.bundle_cc(_iso(spark, sf, n))
-    centres = spatial.centroids(bundles if n is None else bundles.where("bundle < 6"), "bundle")
-    return spatial.nearest_centroid(X.edges(spark, sf, n), centres, "bundle")
+def nearest_centroid(spark, sf):
+    return spatial.nearest_centroid(X.edges(spark, sf), spatial.centroids(_large(spark, sf), "bundle"), "bundle")
 
 
 @query(X.with_("edges") + "SELECT edge_id, round((i1 + i2) / 2 + 0.1 * 0.5 * l, 6) AS x, round((j1 + j2) / 2 - 0.1 * 0.25 * l, 6) AS y FROM (SELECT *, sqrt(pow(i1 - i2, 2) + pow(j1 - j2, 2) + pow(k1 - k2, 2)) AS l FROM edges)")
-def spline_mid(spark, sf, n=X.EDGES):
-    e = X.edges(spark, sf, n)
+def spline_mid(spark, sf):
+    e = X.edges(spark, sf)
     length = C.euclid([F.col(f"{c}1") for c in "ijk"], [F.col(f"{c}2") for c in "ijk"])
     mid = lambda a, by: F.round(C.spline_mid(F.col(f"{a}1"), F.col(f"{a}2"), F.lit(by), length), 6)
     return e.select("edge_id", mid("i", 0.5).alias("x"), mid("j", -0.25).alias("y"))
 
 
-@query(X.with_("bundled", more={
-    "bd": f"SELECT a, b, min(least(d1, d2)) AS d FROM (SELECT a.bundle AS a, b.bundle AS b, {_D12} FROM bundled a JOIN bundled b ON a.bundle <> b.bundle AND a.bundle < 40 AND b.bundle < 40) GROUP BY ALL",
-    "bw": "SELECT DISTINCT bundle AS e, bundle AS root FROM bundled WHERE bundle < 40 UNION SELECT bd.b, bw.root FROM bw JOIN bd ON bw.e = bd.a AND bd.d <= 4",
+@query(X.with_("large", more={
+    "bd": f"SELECT a, b, min(least(d1, d2)) AS d FROM (SELECT a.bundle AS a, b.bundle AS b, {_D12} FROM large a JOIN large b ON a.bundle <> b.bundle) GROUP BY ALL",
+    "bw": "SELECT DISTINCT bundle AS e, bundle AS root FROM large UNION SELECT bd.b, bw.root FROM bw JOIN bd ON bw.e = bd.a AND bd.d <= 4",
 }) + "SELECT e AS bundle, min(root) AS root FROM bw GROUP BY e")
-def single_linkage_cut_h(spark, sf, n=X.EDGES):
-    if n is None:
-        return cluster.single_cut(written(spatial.bundle_cc(_iso(spark, sf, n)), "bundles"), 4.0)
-    e = written(spatial.bundle_cc(_iso(spark, sf, n)).where("bundle < 40"), "bundles")
-    names = [r[0] for r in e.select("bundle").distinct().orderBy("bundle").collect()]
-    label = cut_height(cluster.linkage(cluster._square(cluster.bundle_distances(e), names), "single"), 4.0)
-    first: dict[int, int] = {}
-    rows = [(b, first.setdefault(int(g), b)) for b, g in zip(names, label, strict=True)]
-    return spark.createDataFrame(rows, "bundle int, root int")
+def single_linkage_cut_h(spark, sf):
+    return cluster.single_cut(_large(spark, sf), 4.0)
 
 
 @query()
 def hc1_complete(spark, sf):
-    return cluster.hc1(X.edges(spark, sf, None), "complete", 44).select("edge_id", "bundle")
+    return cluster.hc1(X.edges(spark, sf), "complete", 44).select("edge_id", "bundle")
 
 
 @query()
 def hc2_average(spark, sf):
-    return cluster.hc2(written(spatial.bundle_cc(_iso(spark, sf, None)), "bundles"))[0].select("edge_id", "bundle", "network")
+    return cluster.hc2(_large(spark, sf))[0].select("edge_id", "bundle", "network")
 
 
 @query()
 def recut(spark, sf):
-    edges, tree = cluster.hc2(written(spatial.bundle_cc(_iso(spark, sf, None)), "bundles"))
+    edges, tree = cluster.hc2(_large(spark, sf))
     return cluster.recut(edges, tree, 9).select("edge_id", "network")
 
 
 @query()
 def pipeline_v1(spark, sf):
-    return pipeline.process_v1(X.edges(spark, sf, None)).edges.select("edge_id", "bundle", "network")
+    return pipeline.process_v1(X.edges(spark, sf), bundles=400).edges.select("edge_id", "bundle", "network")
 
 
 @query()
 def pipeline_v2(spark, sf):
-    return pipeline.process_v2(X.edges(spark, sf, None)).edges.select("edge_id", "bundle", "network")
+    return pipeline.process_v2(X.edges(spark, sf)).edges.select("edge_id", "bundle", "network")
 
 
 @query(_prune_sql().replace("bundled AS (SELECT iso.*", "bundled AS (SELECT iso.*") + "SELECT edge_id, CASE WHEN edge_id NOT IN (SELECT edge_id FROM iso) THEN 'isolation' WHEN edge_id NOT IN (SELECT edge_id FROM r8) THEN 'prune' END AS removed_by FROM edges")
-def mask_chain(spark, sf, n=X.EDGES):
-    e = X.edges(spark, sf, n)
-    iso = _iso(spark, sf, n)
+def mask_chain(spark, sf):
+    e = X.edges(spark, sf)
+    iso = _iso(spark, sf)
     return spatial.removed_by(e, [("isolation", iso), ("prune", spatial.prune_isolated(spatial.bundle_cc(iso)))])
 
 
@@ -469,18 +467,11 @@ def status_rollup(spark, sf):
 
 
 @query(X.with_("bundled") + "SELECT edge_id, bundle FROM bundled WHERE bundle IN (0, 2)")
-def select_labels(spark, sf, n=X.EDGES):
+def select_labels(spark, sf):
     chosen = spark.createDataFrame([(0, None), (2, 2)], "network int, bundle int")
-    return spatial.select_labels(spatial.bundle_cc(_iso(spark, sf, n)), chosen).select("edge_id", "bundle")
+    return spatial.select_labels(spatial.bundle_cc(_iso(spark, sf)), chosen).select("edge_id", "bundle")
 
 
-# The queries above whose SQL is for the first EDGES ids, over all orders.
-for _name in (
-    "isolation_filter", "voxel_components", "edge_components", "bundle_cc", "bundle_strict", "drop_small", "prune_isolated_fixpoint", "prune_endpoint_clusters",
-    "edge_dist_max", "edge_dist_min", "edge_dist_mean", "bundle_min_dist", "bundle_maxmin", "bundle_maxmin_edges", "bundle_centroid", "nearest_centroid", "spline_mid", "single_linkage_cut_h", "mask_chain", "select_labels",
-):
-    _whole(_name)
-
 # Distributions -------------------------------------------------------------------------------------------
 
 
@@ -504,22 +495,47 @@ _dist("LOGPVAL", "lineitem", "l_tax", ["l_orderkey"], (0, 0, 0), "1 - exp(-abs(x
 _dist("LOG10PVAL", "lineitem", "l_tax", ["l_orderkey"], (0, 0, 0), "1 - pow(10.0, -abs(x))", "pow(10.0, -abs(x))")
 
 
-def _numeric(name: str, p: tuple, x: str) -> None:
+# Weights of Simpson's rule over (0, 1); densities are integrated from 0 to x in the square root of the value, which is smooth at 0.
+_GRID = "g AS (SELECT n / 2000.0::DOUBLE AS u, CASE WHEN n = 0 OR n = 2000 THEN 1 WHEN n % 2 = 1 THEN 4 ELSE 2 END / 6000.0::DOUBLE AS w FROM (SELECT unnest(range(2001)) AS n)), j AS (SELECT unnest(range(60)) AS j)"
+_UPTO = "SELECT v, x, CASE WHEN x > 0 THEN sum(w * 2 * x * u * ({f})) ELSE 0 END AS p FROM (SELECT *, {y} * u * u AS t FROM v CROSS JOIN g) WHERE u > 0 GROUP BY v, x"
+_ABOUT = "SELECT v, x, 0.5 + sum(w * {y} * ({f})) AS p FROM (SELECT *, {y} * u AS t FROM v CROSS JOIN g) GROUP BY v, x"
+
+
+def _density(f: str, y: str = "x") -> str:
+    return _UPTO.replace("2 * x * u", f"2 * {y} * u").format(f=f, y=y)
+
+
+def _numeric(name: str, p: tuple, x: str, sql: str | None = None) -> None:
+    """Tails, and the z-score of a value: where there is SQL, as the normal tail at the z-score, which has to be p."""
+
     def run(spark, sf):
         v = X.read(spark, sf, "lineitem").select(F.col("l_quantity").alias("v")).distinct().select("v", F.expr(x).alias("x"))
         c = F.col("x")
-        return v.select("v", "x", *(F.round(f(c, name, *p), 9).alias(n) for n, f in (("p", D.stat2cdf), ("q", D.stat2rcdf), ("z", D.stat2zscore))))
+        out = v.select("v", "x", *(f(c, name, *p).alias(n) for n, f in (("p", D.stat2cdf), ("q", D.stat2rcdf), ("z", D.stat2zscore))))
+        if sql:
+            out = out.withColumn("pz", D.stat2cdf(F.col("z"), "ZSCORE")).drop("z")
+        return out.select("v", "x", *(F.round(n, 9).alias(n) for n in out.columns[2:]))
 
     run.__name__ = f"dist_{name.lower()}"
-    query()(run)
-
-
-for _n, _p, _x in (
-    ("CORREL", (10, 0, 0), "v / 51 - 0.5"), ("TTEST", (7, 0, 0), "v / 10 - 2.5"), ("FTEST", (3, 9, 0), "v / 10"), ("ZSCORE", (0, 0, 0), "v / 10 - 2.5"), ("CHISQ", (4, 0, 0), "v / 4"),
-    ("BETA", (2, 5, 0), "v / 51"), ("BINOM", (50, 0.4, 0), "v"), ("GAMMA", (2.5, 1.5, 0), "v / 10"), ("POISSON", (20, 0, 0), "v"), ("NORMAL", (25, 9, 0), "v"), ("FTEST_NONC", (3, 9, 2), "v / 10"),
-    ("CHISQ_NONC", (4, 3, 0), "v / 3"), ("TTEST_NONC", (8, 1.2, 0), "v / 10 - 2"), ("CHI", (3, 0, 0), "v / 12"), ("INVGAUSS", (2, 3, 0), "v / 10"),
-):
-    _numeric(_n, _p, _x)
+    query(sql and f"WITH v AS (SELECT DISTINCT l_quantity AS v, {x.replace(' / ', ' / 1.0::DOUBLE / ')} AS x FROM lineitem), {_GRID}, p AS ({sql}) SELECT v, x, round(p, 9) AS p, round(1 - p, 9) AS q, round(p, 9) AS pz FROM p")(run)
+
+
+_PHI = _ABOUT.format(f="exp(-t * t / 2) / sqrt(2 * pi())", y="{y}")
+_numeric("CORREL", (10, 0, 0), "v / 51 - 0.5", _density("630 * pow(t, 4) * pow(1 - t, 4)", "((x + 1) / 2)").replace("x > 0", "x > -1"))
+_numeric("TTEST", (7, 0, 0), "v / 10 - 2.5", _ABOUT.format(f="gamma(4) / sqrt(7 * pi()) / gamma(3.5) * pow(1 + t * t / 7, -4)", y="x"))
+_numeric("FTEST", (3, 9, 0), "v / 10", _density("gamma(6) / gamma(1.5) / gamma(4.5) * pow(1 / 3.0::DOUBLE, 1.5) * sqrt(t) * pow(1 + t / 3, -6)"))
+_numeric("ZSCORE", (0, 0, 0), "v / 10 - 2.5", _PHI.format(y="x"))
+_numeric("CHISQ", (4, 0, 0), "v / 4", _density("t * exp(-t / 2) / 4"))
+_numeric("BETA", (2, 5, 0), "v / 51", _density("30 * t * pow(1 - t, 4)"))
+_numeric("BINOM", (50, 0.4, 0), "v", "SELECT v, x, sum(exp(lgamma(51) - lgamma(j + 1) - lgamma(51 - j) + j * ln(0.4::DOUBLE) + (50 - j) * ln(0.6::DOUBLE))) AS p FROM v JOIN j ON j <= x AND j <= 50 GROUP BY v, x")
+_numeric("GAMMA", (2.5, 1.5, 0), "v / 10", _density("pow(1.5, 2.5) / gamma(2.5) * pow(t, 1.5) * exp(-1.5 * t)"))
+_numeric("POISSON", (20, 0, 0), "v", "SELECT v, x, sum(exp(j * ln(20) - 20 - lgamma(j + 1))) AS p FROM v JOIN j ON j <= x GROUP BY v, x")
+_numeric("NORMAL", (25, 9, 0), "v", _PHI.format(y="((x - 25) / 9)"))
+_numeric("FTEST_NONC", (3, 9, 2), "v / 10", _density("SELECTED", "(3 * x / (3 * x + 9))").replace("CROSS JOIN g)", "CROSS JOIN g CROSS JOIN j WHERE j < 40)").replace("SELECTED", "exp(-1 - lgamma(j + 1) + lgamma(6 + j) - lgamma(1.5 + j) - lgamma(4.5)) * pow(t, 0.5 + j) * pow(1 - t, 3.5)"))
+_numeric("CHISQ_NONC", (4, 3, 0), "v / 3", _density("exp(-1.5 + j * ln(1.5) - lgamma(j + 1) - t / 2 - (2 + j) * ln(2) - lgamma(2 + j)) * pow(t, 1 + j)").replace("CROSS JOIN g)", "CROSS JOIN g CROSS JOIN j)"))
+_numeric("TTEST_NONC", (8, 1.2, 0), "v / 10 - 2")
+_numeric("CHI", (3, 0, 0), "v / 12", _density("sqrt(2 / pi()) * t * t * exp(-t * t / 2)"))
+_numeric("INVGAUSS", (2, 3, 0), "v / 10", _density("sqrt(3 / (2 * pi() * t * t * t)) * exp(-3 * (t - 2) * (t - 2) / (8 * t))"))
 
 # Images --------------------------------------------------------------------------------------------------
 
@@ -591,13 +607,13 @@ def header_mod(spark, sf):
 # Files and streams ---------------------------------------------------------------------------------------
 
 
-@query(X.with_("points") + f"SELECT i, j, round(r::FLOAT::DOUBLE, 5) AS r FROM ({_CORR}) WHERE j < 80")
-def triangle_round_trip(spark, sf, n=80):
+@query(X.with_("points") + f"SELECT i, j, round(r::FLOAT::DOUBLE, 5) AS r FROM ({_CORR})")
+def triangle_round_trip(spark, sf):
     from .sources import triangle
     from .tables import shared_dir
 
-    n = X.signals(spark, sf).count() if n is None else n
-    pairs = signals.correlate(X.signals(spark, sf).where(F.col("vox") < n))
+    s = X.signals(spark, sf)
+    pairs, n = signals.correlate(s), s.count()
     path = f"{shared_dir(spark)}/tri-{__import__('uuid').uuid4().hex}.bin"
     triangle.write_binary(pairs, path, n)
     triangle.register(spark)
@@ -616,13 +632,9 @@ def resume_parts(spark, sf):
     return spark.read.parquet(path).select("event_type", "h", "total")
 
 
-@query(X.with_("alledges") + _HIST + "SELECT bin, count FROM hist")
+@query(X.with_("edges") + _HIST + "SELECT bin, count FROM hist")
 def streaming_histogram(spark, sf):
     from .streaming.histogram import histogram_of_stream
 
-    return histogram_of_stream(written(X.edges(spark, sf, None).select("pvalue"), "stream"), bins=400).select("bin", "count")
-
+    return histogram_of_stream(written(X.edges(spark, sf).select("pvalue"), "stream"), bins=400).select("bin", "count")
 
-# The two above that their SQL holds to the first signals, over all signals.
-for _name in ("tri_full_matrix", "triangle_round_trip"):
-    _whole(_name)

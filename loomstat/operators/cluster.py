@@ -1,9 +1,11 @@
 """Clusters of edges, and networks of bundles.
 
 Edge distances compare first with first and second with second endpoints. Distances between bundles are
-partial minima over tiles of edges, so only a matrix of bundles by bundles reaches the driver, after a check
-of its size; trees are built there. Edges are clustered exactly up to ``max_exact`` of them; beyond that a
-hashed sample of so many is, and every edge goes to the nearest centroid of the sample's clusters.
+partial minima over tiles of edges, so only a matrix of bundles by bundles reaches the driver, batch by
+batch; trees are built there, in place. Edges are clustered exactly up to ``max_exact`` different places
+(edges of one place have distance 0 and count by their number); beyond that a hashed sample of so many
+edges is, and every edge goes to the nearest centroid of the sample's clusters. A matrix of more than
+``DOUBLE`` rows is kept in single precision: 10 GB of the driver for 50,000 rows.
 """
 
 from __future__ import annotations
@@ -21,8 +23,11 @@ from ..tables import ship, written
 from .graph import components
 from .spatial import centroids, nearest_centroid, relabel, tile_pairs
 
-MAX_EXACT = 8_000
-MOST_BUNDLES = 8_000
+MAX_EXACT = 50_000
+#: Rows of a matrix up to which it has double precision.
+DOUBLE = 20_000
+#: Bundles beyond which those of one place are one row of the matrix.
+COLLAPSED = 8_000
 ENDS = [f"{c}{s}" for s in (1, 2) for c in "ijk"]
 
 
@@ -61,17 +66,22 @@ def _block_minima(edges: DataFrame, label: str, inside: bool, block: int) -> Dat
             right = left
             if t.column("x")[0].as_py() != t.column("y")[0].as_py():
                 return
-        order = right[np.argsort(l[right], kind="stable")]
+        extreme = np.maximum if inside else np.minimum
+        order, rows = (x[np.argsort(l[x], kind="stable")] for x in (right, left))
         starts = np.flatnonzero(np.r_[True, l[order][1:] != l[order][:-1]])
         names = l[order][starts]
-        own, row = np.unique(l[left], return_inverse=True)
+        own, row = np.unique(l[rows], return_inverse=True)
         # A tile of so many labels at most as it has edges on either side.
         best = np.full((len(own), len(names)), -np.inf if inside else np.inf)
-        for k, r in zip(left, row, strict=True):
-            d1 = np.sqrt(((p[k, :3] - p[order, :3]) ** 2).sum(1))
-            d2 = np.sqrt(((p[k, 3:] - p[order, 3:]) ** 2).sum(1))
-            v = (np.maximum if inside else np.minimum).reduceat(np.minimum(d1, d2), starts)
-            best[r] = (np.maximum if inside else np.minimum)(best[r], v)
+        for s in range(0, len(rows), 64):
+            x, r = p[rows[s : s + 64]], row[s : s + 64]
+            near = None
+            for h in (slice(0, 3), slice(3, 6)):
+                d = ((x[:, None, h] - p[None, order, h]) ** 2).sum(2)
+                near = d if near is None else np.minimum(near, d)
+            first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            v = extreme.reduceat(extreme.reduceat(np.sqrt(near), starts, axis=1), first, axis=0)
+            best[r[first]] = extreme(best[r[first]], v)
         r, m = np.nonzero((own[:, None] == names[None, :]) == inside)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own[r], names[m]), pa.int32()), pa.array(np.maximum(own[r], names[m]), pa.int32()), pa.array(best[r, m], pa.float64())], ["a", "b", "v"])
 
@@ -99,11 +109,20 @@ def maxmin(edges: DataFrame, label: str = "bundle", form: str = "pairs", block:
 
 
 def _square(pairs: DataFrame, names: list[int]) -> np.ndarray:
-    at = {v: k for k, v in enumerate(names)}
-    d = np.zeros((len(names), len(names)))
-    t = pairs.select("a", "b", "dist").toArrow()
-    a, b = (np.array([at[v] for v in t.column(c).to_pylist()], int) for c in ("a", "b"))
-    d[a, b] = d[b, a] = t.column("dist").to_numpy()
+    """The matrix of pairs (a, b, dist) of names, which are ascending; it comes to the driver partition by partition, packed."""
+    ship(pairs.sparkSession)
+    at = np.array(names, np.int64)
+    d = np.zeros((len(at), len(at)), float if len(at) <= DOUBLE else np.float32)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.searchsorted(at, b.column(c).to_numpy()).astype(np.int32).tobytes() for c in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in (x, y, b.column(2).to_numpy().astype(float).tobytes())], ["a", "b", "d"])
+
+    for r in pairs.select("a", "b", "dist").mapInArrow(pack, "a binary, b binary, d binary").toLocalIterator(prefetchPartitions=True):
+        a, b, v = np.frombuffer(r.a, np.int32), np.frombuffer(r.b, np.int32), np.frombuffer(r.d)
+        d[a, b] = v
+        d[b, a] = v
     return d
 
 
@@ -141,19 +160,31 @@ def _mapped(edges: DataFrame, label: str, names: list[int], labels: np.ndarray,
 
 def hc1(edges: DataFrame, flag: str = "complete", k: int = 10, max_exact: int = MAX_EXACT) -> DataFrame:
     """edges with bundle: at most k clusters by the larger end distance; complete or average linkage."""
-    n = edges.count()
-    sample = edges if n <= max_exact else edges.orderBy(F.xxhash64("edge_id", F.lit(42)), "edge_id").limit(max_exact)
-    rows = sample.orderBy("edge_id").select("edge_id", *(F.col(c).cast("double") for c in ENDS)).toArrow()
+    spark, n = edges.sparkSession, edges.count()
+    kind = dict(edges.dtypes)["edge_id"]
+    if n <= k:
+        own = spark.createDataFrame([(r[0], i) for i, r in enumerate(edges.select("edge_id").orderBy("edge_id").collect())], f"edge_id {kind}, bundle int")
+        return relabel(edges.drop("bundle").join(own, "edge_id"), "bundle")
+    at = [F.col(c).cast("double").alias(c) for c in ENDS]
+    places = written(edges.select("edge_id", *at).groupBy(*ENDS).agg(F.min("edge_id").alias("first"), F.count("*").alias("times")), "places")
+    if whole := places.count() <= max_exact:
+        sample = places
+    else:
+        few = written(edges.orderBy(F.xxhash64("edge_id", F.lit(42)), "edge_id").limit(max_exact).select("edge_id", *at), "sample")
+        sample = few.groupBy(*ENDS).agg(F.min("edge_id").alias("first"), F.count("*").alias("times"))
+    # max_exact rows at most.
+    rows = sample.orderBy("first").toArrow()
     x = np.stack([rows.column(c).to_numpy() for c in ENDS], 1)
-    d = np.zeros((len(x), len(x)))
-    for s in range(0, len(x), 512):
-        d[s : s + 512] = np.maximum(*(np.sqrt(((x[s : s + 512, None, h] - x[None, :, h]) ** 2).sum(2)) for h in (slice(0, 3), slice(3, 6))))
-    labels = cut_tree(linkage(d, flag), k)
-    spark = edges.sparkSession
-    own = spark.createDataFrame(list(zip(rows.column("edge_id").to_pylist(), labels.tolist(), strict=True)), f"edge_id {dict(edges.dtypes)['edge_id']}, bundle int")
-    if n > max_exact:
-        own = nearest_centroid(edges, centroids(sample.join(own, "edge_id"), "bundle"), "bundle")
-    return relabel(edges.drop("bundle").join(own, "edge_id"), "bundle")
+    d = np.zeros((len(x), len(x)), float if len(x) <= DOUBLE else np.float32)
+    for s in range(0, len(x), 64):
+        d[s : s + 64] = np.maximum(*(np.sqrt(((x[s : s + 64, None, h] - x[None, :, h]) ** 2).sum(2)) for h in (slice(0, 3), slice(3, 6))))
+    labels = cut_tree(linkage(d, flag, rows.column("times").to_numpy().astype(float), own=True), k)
+    own = pa.table([rows.column(c) for c in ENDS] + [pa.array(labels, pa.int32())], names=[f"__{c}" for c in ENDS] + ["bundle"])
+    own = F.broadcast(spark.createDataFrame(own))
+    to_place = lambda e: e.join(own, [F.col(c).cast("double") == F.col(f"__{c}") for c in ENDS]).drop(*(f"__{c}" for c in ENDS))
+    if not whole:
+        return relabel(edges.drop("bundle").join(nearest_centroid(edges, centroids(to_place(few), "bundle"), "bundle"), "edge_id"), "bundle")
+    return relabel(to_place(edges.drop("bundle")), "bundle")
 
 
 def _alike(edges: DataFrame) -> DataFrame:
@@ -177,8 +208,6 @@ def _collapsed_tree(edges: DataFrame, flag: str) -> tuple[list[int], np.ndarray]
     rows = alike.orderBy("bundle").toArrow()
     names, to = rows.column("bundle").to_numpy(), rows.column("alike").to_numpy()
     own, group, size = np.unique(to, return_inverse=True, return_counts=True)
-    if len(own) > MOST_BUNDLES:
-        raise ValueError(f"more than {MOST_BUNDLES} bundles of different places make a matrix too large for the driver")
     z, top = [], {}
     for leaf, g in enumerate(group.tolist()):
         if g in top:
@@ -188,7 +217,7 @@ def _collapsed_tree(edges: DataFrame, flag: str) -> tuple[list[int], np.ndarray]
         else:
             top[g] = (leaf, 1)
     shift = len(names) + len(z) - len(own)
-    for a, b, h, n in linkage(_square(bundle_distances(_distinct_places(edges, alike)), own.tolist()), flag, size):
+    for a, b, h, n in linkage(_square(bundle_distances(_distinct_places(edges, alike)), own.tolist()), flag, size, own=True):
         a, b = (top[int(x)][0] if x < len(own) else int(x) + shift for x in (a, b))
         z.append((min(a, b), max(a, b), h, n))
     return names.tolist(), np.array(z, float).reshape(-1, 4)
@@ -204,13 +233,13 @@ def single_cut(edges: DataFrame, height: float) -> DataFrame:
 
 def hc2(edges: DataFrame, flag: str = "average", k: int = 5) -> tuple[DataFrame, DataFrame]:
     """edges with network, at most k of them, and the tree over bundles (in the order of their numbers)."""
-    names = [r[0] for r in edges.select(F.col("bundle").cast("int")).distinct().orderBy("bundle").limit(MOST_BUNDLES + 1).collect()]
+    names = [r[0] for r in edges.select(F.col("bundle").cast("int")).distinct().orderBy("bundle").collect()]
     if len(names) <= 1:
         return edges.withColumn("network", F.lit(0)), linkage_table(edges.sparkSession, np.zeros((0, 4)))
-    if len(names) > MOST_BUNDLES:
+    if len(names) > COLLAPSED:
         names, z = _collapsed_tree(edges, flag)
     else:
-        z = linkage(_square(bundle_distances(edges), names), flag)
+        z = linkage(_square(bundle_distances(edges), names), flag, own=True)
     out = relabel(_mapped(edges, "bundle", names, cut_tree(z, min(k, len(names))), "network"), "network")
     return out, linkage_table(edges.sparkSession, z)
 

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import numbered, written
+
 BINS = 10_000
 DECADES = 20
 THRESHOLDS = (0.05, 0.01, 0.001, 0.0005, 0.0001)
@@ -98,17 +100,21 @@ def histogram_percentiles(hist: DataFrame, percents: tuple[float, ...] = PERCENT
 def exact_percentiles(df: DataFrame, col: str, places: list[tuple[float, float]], bins: int = BINS) -> DataFrame:
     """(label, value): the value at rank floor(n * share), clamped, of (label, share) pairs.
 
-    The histogram says which bin holds each rank; only the values of those bins are sorted, each bin apart,
-    so no task sorts all values.
+    The histogram says which bin holds each rank. The distinct values of those bins are numbered by ranges with
+    their counts, so neither ties nor a bin with most of the values meet in one task.
     """
     v = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)").withColumn("bin", log_bin(F.col("v"), bins))
     hist = v.groupBy("bin").agg(F.count("*").alias("c"))
     cum = hist.select("bin", "c", F.sum("c").over(Window.orderBy("bin")).alias("upto"), F.sum("c").over(Window.partitionBy()).alias("n"))
     want = F.array(*(F.struct(F.lit(float(a)).alias("label"), F.lit(float(s)).alias("share")) for a, s in places))
     ranks = cum.select("*", F.inline(want)).withColumn("rank", F.least(F.floor(F.col("n") * F.col("share")), F.col("n") - 1)).where("rank < upto AND rank >= upto - c")
-    ranks = ranks.select("bin", "label", (F.col("rank") - (F.col("upto") - F.col("c"))).alias("in_bin"))
-    inside = v.join(F.broadcast(ranks.select("bin").distinct()), "bin", "left_semi").withColumn("k", F.row_number().over(Window.partitionBy("bin").orderBy("v")) - 1)
-    return inside.join(ranks, (inside["bin"] == ranks["bin"]) & (F.col("k") == F.col("in_bin"))).select("label", F.col("v").alias("value"))
+    ranks = written(ranks.select("bin", "c", "label", (F.col("rank") - (F.col("upto") - F.col("c"))).alias("in_bin")), "ranks")
+    # Bins and labels: a row for each place that is asked for.
+    picked = ranks.select("bin", "c").distinct().select("bin", (F.sum("c").over(Window.orderBy("bin")) - F.col("c")).alias("first"))
+    at = ranks.join(picked, "bin").select("label", (F.col("first") + F.col("in_bin")).alias("at"))
+    values = v.join(F.broadcast(picked.select("bin")), "bin", "left_semi").groupBy("v").agg(F.count("*").alias("times"))
+    values = numbered(values, [F.col("v")], "k", "times")
+    return values.join(F.broadcast(at), (F.col("at") >= F.col("k")) & (F.col("at") < F.col("k") + F.col("times"))).select("label", F.col("v").alias("value"))
 
 
 def deciles(df: DataFrame, col: str = "pvalue") -> DataFrame:

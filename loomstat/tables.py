@@ -85,8 +85,8 @@ def plain_unions(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
-def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
-    """df with a column name: the place of each row by the values of Columns, ascending, from 0.
+def numbered(df: DataFrame, order: list, name: str, weight: str | None = None) -> DataFrame:
+    """df with a column name: how many rows (or how much of the column weight) stand before each row by the values of Columns, ascending.
 
     Rows are dealt by ranges and counted in each; only the counts, one for each range, meet in one place.
     """
@@ -98,7 +98,8 @@ def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
     rows = df.withColumns(dict(zip(keys, order, strict=True)))
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     rows = written(rows.repartitionByRange(n, *keys).withColumn("__p", F.spark_partition_id()), "ranges")
-    counts = rows.groupBy("__p").agg(F.count("*").alias("c"))
+    counts = rows.groupBy("__p").agg((F.sum(weight) if weight else F.count("*")).alias("c"))
     base = counts.select("__p", (F.sum("c").over(Window.orderBy("__p")) - F.col("c")).alias("__b"))
-    place = F.row_number().over(Window.partitionBy("__p").orderBy(*keys)) - 1
+    here = Window.partitionBy("__p").orderBy(*keys)
+    place = F.sum(weight).over(here.rowsBetween(Window.unboundedPreceding, 0)) - F.col(weight) if weight else F.row_number().over(here) - 1
     return rows.withColumn("__n", place).join(F.broadcast(base), "__p").withColumn(name, (F.col("__b") + F.col("__n")).cast("long")).drop(*keys, "__p", "__n", "__b")

@@ -282,7 +282,7 @@ def test_linkage_matches_greedy(method):
 def test_clusters_and_pipelines(spark):
     from loomstat.plans import fixtures
 
-    e = fixtures.edges(spark, "/root/testdata/sf0.01").cache()
+    e = fixtures.edges(spark, "/root/testdata/sf0.01").where("edge_id < 300").cache()  # one region
     k = cluster.hc1(e, "complete", 20)
     assert 1 < k.select("bundle").distinct().count() <= 20 and k.count() == 300
     near_k = cluster.hc1(e, "complete", 20, max_exact=100)
@@ -314,3 +314,19 @@ def test_components_in_rounds(spark):
         for r in graph.components(n, e, local=local).collect():
             out.setdefault(r.root, []).append(r.node)
         assert sorted(map(sorted, out.values())) == groups(pairs, nodes) and all(k == min(v) for k, v in out.items())
+
+
+def test_normalising_takes_time_in_proportion_to_frames(spark):
+    df = spark.createDataFrame([(0, [1.0, 2.0, 4.0]), (1, [5.0, 5.0, 5.0]), (2, [1.0, None, 2.0]), (3, []), (4, None), (None, [1.0]), (5, [1.0, float("nan")])], "vox long, ts array<double>")
+    z = signals.normed(df)
+    assert "aggregate(" not in z._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.vox: r for r in z.collect()}
+    assert set(got) == {0, 1, 2, 3, 5} and got[1].flat and got[3].flat and not got[0].flat and not got[5].flat
+    assert np.allclose(got[0].z, np.array([-4, -1, 5]) / 42**0.5) and np.isnan(got[2].z).all() and np.isnan(got[5].z).all()
+
+
+def test_percentiles_of_ties(spark):
+    rows = [1.0] * 500 + [0.5] * 300 + [-3.0, -2.0, -1.0, 0.0] * 50 + [0.001 * k for k in range(100)] + [None, float("nan")]
+    df = spark.createDataFrame([(v,) for v in rows], "pvalue double").repartition(5)
+    v = sorted(x for x in rows if x is not None and x == x)
+    assert [(r.decile, r.value) for r in significance.deciles(df).orderBy("decile").collect()] == [(i, v[min(int(len(v) * (i / 10)), len(v) - 1)]) for i in range(11)]

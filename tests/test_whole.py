@@ -1,57 +1,55 @@
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from loomstat import catalog
 from loomstat.operators import cluster
-from loomstat.operators.linkage import cut_height, linkage
+from loomstat.operators.linkage import cut_height, cut_tree, linkage
 from loomstat.plans import fixtures as X
-from test_catalog import plain
 
 
-@pytest.fixture(scope="module")
-def few(spark, sf, tmp_path_factory):
-    """150 orders of all ids."""
-    at = str(tmp_path_factory.mktemp("few"))
-    spark.read.parquet(f"{sf}/orders.parquet").orderBy(F.xxhash64("o_orderkey")).limit(150).write.parquet(f"{at}/orders.parquet")
-    return at
+def test_queries_read_whole_tables(spark, sf):
+    n = X.edges(spark, sf).count()
+    assert n == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert catalog.queries()["hc1_complete"](spark, sf).count() == n
+    assert catalog.queries()["pipeline_v1"](spark, sf).count() == n
+    for name in catalog.oracle_sql():
+        assert not any(x in catalog.oracle_sql()[name] for x in ("o_orderkey <", "edge_id < 3", "SAMPLE", "LIMIT")), name
 
 
-def without_subset(sql):
-    for part in (f" WHERE edge_id < {X.EDGES}", " AND a.bundle < 40 AND b.bundle < 40", " WHERE bundle < 40", " WHERE bundle < 6", " WHERE i < 60 AND j < 60", " WHERE j < 80"):
-        sql = sql.replace(part, "")
-    return sql
+def brute_hc1(x, flag, k):
+    d = np.maximum(*(np.sqrt(((x[:, None, h] - x[None, :, h]) ** 2).sum(2)) for h in (slice(0, 3), slice(3, 6))))
+    return cut_tree(linkage(d, flag), k)
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.oracle_sql() if f"{n}_all" in catalog.queries() and "edge_id < " in catalog.oracle_sql()[n]])
-def test_whole_edges_equal_the_sql_without_its_subset(spark, few, name):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{few}/orders.parquet/*.parquet'")
-    cur = con.execute(without_subset(catalog.oracle_sql()[name]))
-    columns = [d[0] for d in cur.description]
-    want = sorted(repr([plain(v) for v in r]) for r in cur.fetchall())
-    got = catalog.queries()[f"{name}_all"](spark, few).collect()
-    assert sorted(repr([plain(r[c]) for c in columns]) for r in got) == want and want
+@pytest.mark.parametrize("flag", ["complete", "average"])
+def test_edges_of_one_place_count_by_their_number(spark, monkeypatch, flag):
+    rng = np.random.default_rng(3)
+    place = rng.normal(0, 9, (40, 6))
+    x = place[np.r_[np.arange(40), rng.integers(0, 40, 60)]]
+    e = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "edge_id long, i1 double, j1 double, k1 double, i2 double, j2 double, k2 double")
+    for double in (20_000, 10):  # in single precision too
+        monkeypatch.setattr(cluster, "DOUBLE", double)
+        for k in (1, 5, 20):
+            want, got = brute_hc1(x, flag, k), [r.bundle for r in cluster.hc1(e, flag, k).orderBy("edge_id").collect()]
+            assert len({*zip(want.tolist(), got)}) == len({*got}) == len({*want.tolist()}) == k
+    assert cluster.hc1(e, flag, 200).select("bundle").distinct().count() == 100
 
 
-@pytest.mark.parametrize("name", ["tri_full_matrix", "triangle_round_trip"])
-def test_whole_signals_equal_the_sql_without_its_subset(spark, sf, name):
-    con = duckdb.connect()
-    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
-    cur = con.execute(without_subset(catalog.oracle_sql()[name]))
-    columns = [d[0] for d in cur.description]
-    want = sorted(repr([plain(v) for v in r]) for r in cur.fetchall())
-    got = catalog.queries()[f"{name}_all"](spark, sf).collect()
-    assert sorted(repr([plain(r[c]) for c in columns]) for r in got) == want and want
+def test_more_edges_than_the_old_limit_are_clustered_exactly(spark):
+    e = spark.range(9000).selectExpr("id AS edge_id", "id % 30 * 100 + id div 30 % 10 AS i1", "id div 300 AS j1", "0 AS k1", "0 AS i2", "0 AS j2", "0 AS k2")
+    got = cluster.hc1(e, "complete", 30)
+    assert got.groupBy("bundle").agg(F.min(F.col("edge_id") % 30).alias("a"), F.max(F.col("edge_id") % 30).alias("b"), F.count("*").alias("n")).where("a = b AND n = 300").count() == 30
+    sampled = cluster.hc1(e, "complete", 30, max_exact=3000)
+    assert sampled.count() == 9000 and sampled.select("bundle").distinct().count() == 30
+    assert sampled.groupBy("bundle").agg(F.countDistinct(F.col("edge_id") % 30).alias("a")).where("a > 1").count() == 0
 
 
-def test_queries_without_sql_have_every_edge(spark, sf):
-    n = X.edges(spark, sf, None).count()
-    assert n > X.EDGES
-    assert catalog.queries()["hc1_complete"](spark, sf).count() == n
-    assert catalog.queries()["pipeline_v1"](spark, sf).count() == n
-    assert catalog.queries()["hc2_average"](spark, sf).where(f"edge_id >= {X.EDGES}").count() > 0
+def test_many_bundles(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "DOUBLE", 100)
+    e = spark.range(600).selectExpr("id AS edge_id", "cast(id div 2 AS int) AS bundle", "id div 2 % 3 * 1000 + id div 10 AS i1", "id % 2 AS j1", "0 AS k1", "id div 2 % 3 * 1000 + id div 10 AS i2", "1 AS j2", "2 AS k2")
+    out, tree = cluster.hc2(e, "average", 3)
+    assert tree.count() == 299 and out.groupBy("network").agg(F.countDistinct(F.col("bundle") % 3).alias("a"), F.count("*").alias("n")).where("a = 1 AND n = 200").count() == 3
 
 
 def test_bundles_of_one_place_make_the_same_tree(spark, monkeypatch):
@@ -62,7 +60,7 @@ def test_bundles_of_one_place_make_the_same_tree(spark, monkeypatch):
     e = spark.createDataFrame(rows, "edge_id long, bundle int, i1 double, j1 double, k1 double, i2 double, j2 double, k2 double")
     d = cluster._square(cluster.bundle_distances(e), list(range(71)))
     want = linkage(d, "average")
-    monkeypatch.setattr(cluster, "MOST_BUNDLES", 50)
+    monkeypatch.setattr(cluster, "COLLAPSED", 50)
     networks, tree = cluster.hc2(e, "average", 4)
     got = cluster.tree_of(tree)
     assert np.allclose(np.sort(got[:, 2]), np.sort(want[:, 2])) and got[-1, 3] == 71
