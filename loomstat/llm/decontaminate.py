@@ -1,18 +1,24 @@
 """Benchmark decontamination by latent semantic retrieval and a longest common subsequence.
 
-Texts are cut into passages of two neighbouring blocks of ``BLOCK`` words. One pass over the corpus counts
-the blocks that hold each word of the benchmark and sketches the passage-by-word count matrix: each
-passage is added, with a random sign, to one of ``SKETCH`` rows, which is a randomised range finder whose
-partial sums have a fixed size. The driver weighs the sketch by inverse document frequency, stacks it on
-the items' own rows, weighted so that no item falls out of the space, and takes the singular vectors. A
-second pass projects every passage and compares it with every item by cosine. Pairs above ``COSINE``, and places where a text shares ``SHARE`` of an item's runs of ``GRAM`` words,
-whatever the cosine, are then decided by words: the best window of about the item's length must hold ``LCS`` of its words in order,
-and ``ANSWER`` of its answer (what follows the last question mark, or else its last sentence).
-
-Words outside the benchmark's vocabulary can be in no common subsequence, so only the vocabulary has
-columns; it is bounded by the benchmark, of which ``ITEMS`` items at a time make one space. Words are
-lower-cased runs of letters and digits. Of items of fewer than ``LEAST`` words a part matches by
-chance; with ``short`` they are found where all their words stand in a row, and without it they are left out.
+Texts are cut into passages of two neighbouring blocks of ``BLOCK`` words. Columns of the passage matrix
+are the words of the corpus, hashed into ``COLUMNS``, weighed by inverse document frequency. Its singular
+vectors come from a distributed randomised SVD of two passes: the first adds each passage, with a random
+sign, to one of ``SKETCH`` rows and counts the blocks of each column; the rows span the range. The second
+projects every passage into it and sums the squares, a matrix of SKETCH by SKETCH, whose eigenvectors turn
+the range into singular vectors. The first ``RANK`` of them are the latent space, far fewer than there are
+passages or items; coordinates are divided by the singular values, so that what most passages share (a
+language, common words) does not drown the rest. Words that stand in like passages lie near each other
+there, so a passage that says an item in other words is retrieved where its words alone would not do.
+
+A third pass compares every passage with every item by cosine. Pairs above ``COSINE`` that have enough of
+the item's words at all, and places where a text shares ``SHARE`` of an item's runs of ``GRAM`` words, whatever the
+cosine, are then decided by words: the best window of about the item's length must hold ``LCS`` of its words in order,
+and ``ANSWER`` of its answer (what follows the last question mark, or else its last sentence). An item of fewer than
+``LEAST`` words, of which a part matches by chance, is found where all its words stand in a row.
+
+Words are lower-cased runs of letters and digits. What the passes sum up has a fixed size, however large corpus
+and benchmark are. The benchmark goes to the tasks in parts of at most ``PART_BYTES`` of text, all of them in the
+same pass over the corpus; a part is read to the driver to be numbered, and no two at once.
 
 Null and empty texts have no passages and are clean; rows are judged one by one, so repeated rows and null
 ids are kept apart. An empty benchmark leaves everything clean.
@@ -34,19 +40,22 @@ from . import textcore as tc
 from .shared import prepare, shuffle_parts
 
 BLOCK = 32
-SKETCH = 32
+COLUMNS = 1 << 14
+SKETCH = 48
+RANK = 32
+#: Items whose words are numbered together.
 ITEMS = 512
 LEAST = 8
-COSINE = 0.42
+COSINE = 0.6
 LCS = 0.7
 ANSWER = 0.6
 #: An item all of whose words stand in a row has every run of so many words; an edit breaks GRAM runs at most.
 GRAM = 3
 SHARE = 0.125
-#: Bytes of benchmark that may go to every task.
-MOST_BYTES = 64 << 20
-#: Bytes of text handled at a time; a word takes a row of the space.
-SMALL_CHUNK = 1 << 16
+#: Bytes of text of the benchmark in a part. Its arrays take some five times as much in a task.
+PART_BYTES = 16 << 20
+#: Words of a text projected at a time.
+AT_ONCE = 1 << 15
 
 
 def _words(arr: pa.Array, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -67,15 +76,22 @@ def answer_of(text: str) -> str:
 
 @dataclass
 class Space:
-    """Items of one block: their words by number, and the latent space of them and the corpus."""
+    """Some items: their words by number, and where they lie in the latent space."""
 
     ids: list[int | None]
     items: list[np.ndarray]
     answers: list[np.ndarray]
     vocabulary: np.ndarray  # sorted hashes
-    project: np.ndarray | None = None
     latent: np.ndarray | None = None
 
+    def reach(self, item: int, near: np.ndarray) -> int:
+        """How many of an item's words can be in a subsequence of near at most."""
+        if not hasattr(self, "_times"):
+            self._times = np.zeros((len(self.items), len(self.vocabulary)), np.uint16)
+            for k, x in enumerate(self.items):
+                np.add.at(self._times[k], x, 1)
+        return int(self._times[item, np.unique(near[near >= 0])].sum())
+
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted keys of the items' runs of GRAM words, the first entry of each, and the item of each entry."""
         if not hasattr(self, "_grams"):
@@ -159,12 +175,18 @@ def shorts(rows: list[tuple[int | None, np.ndarray]]) -> list[Short]:
     return made
 
 
-def spaces(benchmark: DataFrame) -> tuple[list[Space], list[Short]]:
-    """The benchmark is read to the driver, as all of it goes to every task; beyond MOST_BYTES it raises, and is to be given in parts."""
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MOST_BYTES:
-        raise ValueError(f"{size} bytes of benchmark are more than {MOST_BYTES}; look for its parts one after the other")
-    rows = sorted(((r.item_id, r.text) for r in benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").distinct().collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+def parts_of(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """The items, in parts of about PART_BYTES of text, by a hash of them."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text IS NOT NULL").distinct()
+    n = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
+    for k in range(n):
+        rows = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+        # About PART_BYTES.
+        yield sorted(((r.item_id, r.text) for r in rows.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
+
+
+def spaces(rows: list[tuple[int | None, str]], latent: "Latent") -> tuple[list[Space], list[Short]]:
+    """Items of a part, ITEMS at a time, and the short ones of it."""
     hashed = []
     for start in range(0, len(rows), 1000):
         part = rows[start : start + 1000]
@@ -180,6 +202,8 @@ def spaces(benchmark: DataFrame) -> tuple[list[Space], list[Short]]:
         own = keep[start : start + ITEMS]
         s = Space([rows[k][0] for k in own], [], [], np.unique(np.concatenate([items[k] for k in own])))
         s.items, s.answers = [s.terms(items[k]) for k in own], [s.terms(answers[k]) for k in own]
+        at = np.stack([latent.blocks(items[k], np.array([0, len(items[k])]))[0].sum(0) for k in own])
+        s.latent = np.ascontiguousarray((at / np.maximum(np.linalg.norm(at, axis=1, keepdims=True), 1e-12)).T.astype(np.float32))
         made.append(s)
     return made, shorts([(i, x) for (i, _), x in zip(rows, items, strict=True)])
 
@@ -195,13 +219,68 @@ def _blocks(ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of_word, row_of, ptr[row_of] + (np.arange(first[-1]) - first[row_of]) * BLOCK
 
 
-def _fit(docs: DataFrame, made: list[Space]) -> None:
-    """Fills project and latent of each space from counts over all of docs."""
-    spark = docs.sparkSession
+def _present(words: np.ndarray, of_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(block, column) of the columns that each block has, sorted."""
+    key = np.unique(of_word * COLUMNS + (words % np.uint64(COLUMNS)).astype(np.int64))
+    return key // COLUMNS, key % COLUMNS
+
+
+@dataclass
+class Latent:
+    """Weights that take the columns of a block into a space."""
+
+    project: np.ndarray  # COLUMNS rows
+
+    def blocks(self, words: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Place of each block, block of each word, row and first word of each block."""
+        of_word, row_of, first = _blocks(ptr)
+        out = np.zeros((len(row_of), self.project.shape[1]), np.float32)
+        # Whole blocks, about AT_ONCE words at a time, whatever the length of a text.
+        cuts = [0, *np.searchsorted(first, np.arange(AT_ONCE, len(words), AT_ONCE)).tolist(), len(first)]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if e > s:
+                a, b = first[s], first[e] if e < len(first) else len(words)
+                block, column = _present(words[a:b], of_word[a:b])
+                start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+                out[block[start]] = np.add.reduceat(self.project[column], start, axis=0)
+        return out, of_word, row_of, first
+
+    def passages(self, words: np.ndarray, ptr: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same with each block and the next one of its text together."""
+        out, of_word, row_of, first = self.blocks(words, ptr)
+        on = row_of[1:] == row_of[:-1]
+        out[:-1] += out[1:] * on[:, None]
+        return out, of_word, row_of, first
+
+
+def _added(df: DataFrame, parts: int) -> list:
+    """Sums of rows (j, total, row) by j; a row is an array of int64 for j = -1, else of float32."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        for b in batches:
+            for j, total, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x = np.frombuffer(row, np.int64 if j == -1 else np.float32)
+                if j in held:
+                    held[j][0] += total
+                    held[j][1] += x
+                else:
+                    held[j] = [total, x.astype(np.int64 if j == -1 else np.float64)]
+        for j, (total, x) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([total], pa.int64()), pa.array([x.tobytes()])], ["j", "total", "row"])
+
+    return df.repartition(parts, "j").mapInArrow(add, SUMS).collect()
+
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = [np.zeros((SKETCH + 1, len(s.vocabulary))) for s in made]
-        total = 0
+SUMS = "j int, total long, row binary"
+
+
+def fit(docs: DataFrame) -> Latent:
+    """The latent space of all passages of docs, by two passes; what comes to the driver has SKETCH + 1 rows, however large docs are."""
+    parts = min(SKETCH, shuffle_parts(docs.sparkSession))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, df, total = np.zeros(SKETCH * COLUMNS, np.float32), np.zeros(COLUMNS, np.int64), 0
         for b in batches:
             for _, words, ptr in _words(b.column(0), tc.CHUNK):
                 if not len(words):
@@ -209,53 +288,42 @@ def _fit(docs: DataFrame, made: list[Space]) -> None:
                 of_word, row_of, first = _blocks(ptr)
                 total += len(row_of)
                 # A passage's row and sign come from its words.
+                on = row_of[1:] == row_of[:-1]
                 mark = np.add.reduceat(tc.mix(words), first)
-                mark = tc.mix(mark + np.r_[np.where(row_of[1:] == row_of[:-1], mark[1:], 0), 0].astype(np.uint64))
-                to, sign = (mark % np.uint64(SKETCH)).astype(np.int64), np.where(mark >> np.uint64(63), 1.0, -1.0)
-                goes_on = np.r_[False, row_of[1:] == row_of[:-1]]
-                for s, out in zip(made, sums, strict=True):
-                    t, v = s.terms(words), len(s.vocabulary)
-                    at = np.flatnonzero(t >= 0)
-                    t, block = t[at].astype(np.int64), of_word[at]
-                    out[:SKETCH] += np.bincount(to[block] * v + t, sign[block], SKETCH * v).reshape(SKETCH, v)
-                    m = goes_on[block]
-                    out[:SKETCH] += np.bincount(to[block[m] - 1] * v + t[m], sign[block[m] - 1], SKETCH * v).reshape(SKETCH, v)
-                    pair = np.unique(block * v + t)
-                    out[SKETCH] += np.bincount(pair % v, minlength=v)
-        for k, x in enumerate(sums):
-            for j in range(SKETCH + 1):
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([j], pa.int32()), pa.array([total], pa.int64()), pa.array([x[j].astype(np.int64 if j == SKETCH else np.float32).tobytes()])], ["k", "j", "total", "row"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list] = {}
+                mark = tc.mix(mark + np.r_[np.where(on, mark[1:], 0), 0].astype(np.uint64))
+                to, sign = (mark % np.uint64(SKETCH)).astype(np.int64), np.where(mark >> np.uint64(63), 1, -1).astype(np.float32)
+                block, column = _present(words, of_word)
+                df += np.bincount(column, minlength=COLUMNS)
+                np.add.at(out, to[block] * COLUMNS + column, sign[block])
+                m = np.r_[False, on][block]
+                np.add.at(out, to[block[m] - 1] * COLUMNS + column[m], sign[block[m] - 1])
+        for j in range(SKETCH):
+            yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([0], pa.int64()), pa.array([out[j * COLUMNS : (j + 1) * COLUMNS].tobytes()])], ["j", "total", "row"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([total], pa.int64()), pa.array([df.tobytes()])], ["j", "total", "row"])
+
+    rows = {r.j: r for r in _added(docs.select("text").mapInArrow(sketch, SUMS), parts)}
+    total = rows[-1].total if rows else 0
+    df = np.frombuffer(rows[-1].row, np.int64) if rows else np.zeros(COLUMNS, np.int64)
+    idf = np.log((total + 1) / (df + 1)) + 0.1
+    y = np.stack([np.frombuffer(rows[j].row) for j in range(SKETCH)]) * idf if rows else np.zeros((1, COLUMNS))
+    _, size, basis = np.linalg.svd(y, full_matrices=False)
+    basis = basis[size > 1e-9 * max(size[0], 1e-9)]
+    into = Latent(np.ascontiguousarray((basis * idf).T.astype(np.float32)))
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((len(basis), len(basis)))
         for b in batches:
-            for k, j, total, row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                x = np.frombuffer(row, np.int64 if j == SKETCH else np.float32)
-                if (k, j) in held:
-                    held[k, j][0] += total
-                    held[k, j][1] += x
-                else:
-                    held[k, j] = [total, x.copy()]
-        for (k, j), (total, x) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([j], pa.int32()), pa.array([total], pa.int64()), pa.array([x.tobytes()])], ["k", "j", "total", "row"])
-
-    schema = "k int, j int, total long, row binary"
-    # One row for each of the SKETCH + 1 sums of a space: a few MB, however large the corpus.
-    rows = docs.select("text").mapInArrow(count, schema).repartition(min(SKETCH, shuffle_parts(spark)), "k", "j").mapInArrow(add, schema).collect()
-    for k, s in enumerate(made):
-        own = {r.j: r for r in rows if r.k == k}
-        df = np.frombuffer(own[SKETCH].row, np.int64) if own else np.zeros(len(s.vocabulary), np.int64)
-        total = own[SKETCH].total if own else 0
-        idf = np.log((total + 1) / (df + 1)) + 0.1
-        sketch = np.stack([np.frombuffer(own[j].row, np.float32) for j in range(SKETCH)]).astype(np.float64) * idf if own else np.zeros((1, len(idf)))
-        q = np.stack([np.bincount(x, minlength=len(idf)) for x in s.items]) * idf
-        q /= np.linalg.norm(q, axis=1, keepdims=True)
-        weight = 10 * max(1e-9, np.linalg.norm(sketch, 2))
-        _, d, vt = np.linalg.svd(np.concatenate([sketch, weight * q]), full_matrices=False)
-        vt = vt[: min(len(s.items) + SKETCH, int((d > d[0] * 1e-10).sum()))]
-        s.project = np.ascontiguousarray((idf[:, None] * vt.T).astype(np.float32))
-        latent = q @ vt.T
-        s.latent = np.ascontiguousarray((latent / np.linalg.norm(latent, axis=1, keepdims=True)).T.astype(np.float32))
+            for _, words, ptr in _words(b.column(0), tc.CHUNK):
+                if len(words):
+                    z = into.passages(words, ptr)[0]
+                    out += z.T @ z
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), pa.array([out.astype(np.float32).tobytes()])], ["j", "total", "row"])
+
+    got = _added(docs.select("text").mapInArrow(squares, SUMS), 1) if len(basis) else []
+    value, turn = np.linalg.eigh(np.frombuffer(got[0].row).reshape(len(basis), len(basis)) if got else np.zeros((len(basis),) * 2))
+    value, turn = value[::-1][:RANK], turn[:, ::-1][:, :RANK]
+    turn = turn[:, value > 1e-9 * max(value.max(initial=0), 1e-9)] / np.sqrt(value[value > 1e-9 * max(value.max(initial=0), 1e-9)])
+    return Latent(np.ascontiguousarray(((basis * idf).T @ turn).astype(np.float32)))
 
 
 def common(item: np.ndarray, window: np.ndarray) -> int:
@@ -287,13 +355,14 @@ def compare(item: np.ndarray, answer: np.ndarray, words: np.ndarray, lcs: float)
     return best / m, common(answer, words[at : at + length]) / max(1, len(answer))
 
 
-def _hits(text: pa.Array, made: list[Space], few: list[Short], cosine: float, lcs: float, answer: float) -> list[list[tuple]]:
+def _hits(text: pa.Array, latent: Latent, made: list[Space], few: list[Short], cosine: float, lcs: float, answer: float) -> list[list[tuple]]:
     """For each text, (item_id, cosine, share of the item, share of the answer) of the items that it holds."""
     out: list[list[tuple]] = [[] for _ in range(len(text))]
-    for i, words, ptr in _words(text, SMALL_CHUNK):
+    for i, words, ptr in _words(text, tc.CHUNK):
         if not len(words):
             continue
-        of_word, row_of, first = _blocks(ptr)
+        part, of_word, row_of, first = latent.passages(words, ptr) if made else (None,) * 4
+        norm = np.linalg.norm(part, axis=1) if made else None
         for s in few:
             h = tc.gram_hashes(words, s.length, tc.BASES[1])
             if not len(h):
@@ -305,20 +374,6 @@ def _hits(text: pa.Array, made: list[Space], few: list[Short], cosine: float, lc
                 out[i + row] += [(x, 1.0, 1.0, 1.0) for x in s.ids[s.first[k] : s.first[k + 1]]]
         for s in made:
             t = s.terms(words)
-            at = np.flatnonzero(t >= 0)
-            if not len(at):
-                continue
-            block = of_word[at]
-            start = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-            have = block[start]
-            part = np.zeros((len(row_of), s.project.shape[1]), np.float32)
-            for a in range(0, len(start), 256):  # rows of so many words at a time
-                cut = start[a : a + 256]
-                end = start[a + 256] if a + 256 < len(start) else len(at)
-                part[have[a : a + 256]] = np.add.reduceat(s.project[t[at[cut[0] : end]]], cut - cut[0], axis=0)
-            on = np.r_[row_of[1:] == row_of[:-1], False]
-            part[:-1] += part[1:] * on[:-1, None]
-            norm = np.linalg.norm(part, axis=1)
             cos = part @ s.latent
             p, q = np.nonzero(cos >= cosine * np.maximum(norm, 1e-9)[:, None])
             best: dict[tuple[int, int], tuple] = {}
@@ -328,6 +383,8 @@ def _hits(text: pa.Array, made: list[Space], few: list[Short], cosine: float, lc
                     continue
                 m = len(s.items[y])
                 near = t[max(ptr[row], first[x] - m) : min(ptr[row + 1], first[x] + 2 * BLOCK + m)]
+                if s.reach(y, near) < lcs * m:
+                    continue
                 share, told = compare(s.items[y], s.answers[y], near, lcs)
                 if share and told >= answer and share > best.get((row, y), (0, 0))[1]:
                     best[row, y] = (float(cos[x, y] / norm[x]), share, told)
@@ -345,24 +402,27 @@ def _hits(text: pa.Array, made: list[Space], few: list[Short], cosine: float, lc
     return out
 
 
-def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER, short: bool = False) -> DataFrame:
-    """docs with hits: the items that the row's text holds, as (item_id, cosine, lcs, answer)."""
+def find(docs: DataFrame, benchmark: DataFrame, cosine: float = COSINE, lcs: float = LCS, answer: float = ANSWER, short: bool = True) -> DataFrame:
+    """docs with hits: the items that the row's text holds, as (item_id, cosine, lcs, answer); short items unless told otherwise."""
     prepare(docs.sparkSession)
-    made, few = spaces(benchmark)
-    few = few if short else []
-    if made:
-        _fit(docs, made)
     kind = "array<struct<item_id:long,cosine:double,lcs:double,answer:double>>"
-    schema = docs.select("*", F.lit(None).cast(kind).alias("hits")).schema
-    at = docs.columns.index("text")
+    out = docs.withColumn("hits", F.array().cast(kind))
+    at, to = out.columns.index("text"), out.columns.index("hits")
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            hits = _hits(b.column(at), made, few, cosine, lcs, answer)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([[dict(zip(("item_id", "cosine", "lcs", "answer"), h, strict=True)) for h in x] for x in hits], arrow)], [*b.schema.names, "hits"])
-
-    return docs.mapInArrow(run, schema)
+    latent = None
+    for rows in parts_of(benchmark):
+        latent = latent or fit(docs)
+        made, few = spaces(rows, latent)
+
+        def run(batches: Iterator[pa.RecordBatch], made: list[Space] = made, few: list[Short] = few if short else []) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                old = b.column(to).to_pylist()
+                hits = _hits(b.column(at), latent, made, few, cosine, lcs, answer)
+                new = [x + [dict(zip(("item_id", "cosine", "lcs", "answer"), h, strict=True)) for h in more] for x, more in zip(old, hits, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(new, arrow) if k == to else c for k, c in enumerate(b.columns)], b.schema.names)
+
+        out = out.mapInArrow(run, out.schema)
+    return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, **how: float) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from loomstat.llm import decontaminate as op
 
@@ -48,9 +49,10 @@ def test_common_subsequence():
 def test_nulls_and_empty_tables(spark):
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten"), (2, None), (3, "short item")], "item_id long, text string")
     held = "x y one two three four five six seven eight nine ten z"
-    docs = spark.createDataFrame([(1, None, "a"), (None, held, "b"), (2, held, "c"), (2, held, "c"), (3, "", "d"), (4, "w " * 90000 + held, "e"), (5, "short item", "f")], "doc_id long, text string, hits string")
+    docs = spark.createDataFrame([(1, None, "a"), (None, held, "b"), (2, held, "c"), (2, held, "c"), (3, "", "d"), (4, "w " * 90000 + held, "e"), (5, "short item", "f")], "doc_id long, text string, hits string")  # a column of that name is replaced
     got = sorted(((r.doc_id, r.item_id) for r in op.contaminated(docs, bench).collect()), key=str)
-    assert got == [(2, 1), (2, 1), (4, 1), (None, 1)]
+    assert got == [(2, 1), (2, 1), (4, 1), (5, 3), (None, 1)]
+    assert sorted(((r.doc_id, r.item_id) for r in op.contaminated(docs, bench, short=False).collect()), key=str) == [(2, 1), (2, 1), (4, 1), (None, 1)]
     assert op.contaminated(docs.limit(0), bench).count() == 0
     assert op.contaminated(docs, bench.limit(0)).count() == 0
     assert op.answer_of("What is it? The answer is four.") == " The answer is four."
@@ -86,3 +88,76 @@ def test_registered_query_finds_short_items(spark, sf, tmp_path):
     spark.createDataFrame([(1, "x capital of France Paris y")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(9, "Capital of France? Paris")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert [(r.doc_id, r.item_id) for r in queries.op6_decontaminate(spark, str(tmp_path)).collect()] == [(1, 9)]
+
+
+def topics(rnd, n=40, size=12):
+    """Topics of synonyms: each of its things has three words, used alike."""
+    word = lambda: "".join(rnd.choice("abcdefghijklmnop") for _ in range(7))
+    return [[[word() for _ in range(3)] for _ in range(size)] for _ in range(n)]
+
+
+def test_synonyms_are_retrieved_where_their_words_are_not(spark):
+    rnd = random.Random(11)
+    all_topics = topics(rnd, 20, 60)
+    say = lambda topic, n: [rnd.choice(rnd.choice(topic)) for _ in range(n)]
+    corpus = [(k, " ".join(say(rnd.choice(all_topics), 64))) for k in range(4000)]
+    items, said = [], []
+    for k in range(60):
+        # Two words of three in another one's place, so that no run of words is left, and the answer as it was.
+        picks = [(rnd.choice(all_topics[k % 20]), rnd.randrange(3)) for _ in range(24)]
+        items.append((k, " ".join(t[j] for t, j in picks) + "? Final answer"))
+        said.append((10_000 + k, " ".join(t[(j + n % 3) % 3] for n, (t, j) in enumerate(picks)) + "? Final answer"))
+    docs = spark.createDataFrame(corpus + said, "doc_id long, text string").repartition(4)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in op.contaminated(docs, bench, lcs=0.35).collect()}
+    want = {(10_000 + k, k) for k in range(60)}
+    assert len(got & want) >= 40 and {d for d, _ in got} <= {d for d, _ in want}
+    assert len({(r.doc_id, r.item_id) for r in op.contaminated(docs, bench, lcs=0.35, cosine=2.0).collect()} & want) < 5  # by runs of words alone
+    # Their words alone, weighed by inverse document frequency, are far below the threshold.
+    df = np.zeros(op.COLUMNS)
+    cols = lambda text: np.unique(next(op._words(pa.array([text]), 1 << 30))[1] % np.uint64(op.COLUMNS)).astype(int)
+    for _, t in corpus:
+        df[cols(t)] += 1
+    idf = np.log((len(corpus) + 1) / (df + 1)) + 0.1
+    cosine = lambda a, b: sum(idf[c] ** 2 for c in {*a} & {*b}) / (sum(idf[c] ** 2 for c in a) * sum(idf[c] ** 2 for c in b)) ** 0.5
+    assert np.mean([cosine(cols(items[k][1]), cols(said[k][1])) for k in range(60)]) < op.COSINE
+
+
+def test_svd_is_near_the_exact_one(spark):
+    rnd = random.Random(3)
+    all_topics = topics(rnd, 10)
+    rows = [(k, " ".join(rnd.choice(rnd.choice(all_topics[k % 10])) for _ in range(40))) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    latent = op.fit(docs)
+    assert latent.project.shape[1] <= op.RANK < 60
+    full = np.zeros((0, op.COLUMNS))
+    for _, words, ptr in op._words(pa.array([t for _, t in rows]), 1 << 30):
+        of_word, row_of, _ = op._blocks(ptr)
+        block, column = op._present(words, of_word)
+        x = np.zeros((len(row_of), op.COLUMNS))
+        x[block, column] = 1
+        total, df = len(row_of), x.sum(0)
+        x[:-1] += x[1:] * (row_of[1:] == row_of[:-1])[:, None]
+        full = np.concatenate([full, x])
+    full *= np.log((total + 1) / (df + 1)) + 0.1
+    _, d, vt = np.linalg.svd(full, full_matrices=False)
+    # The ten topics: the span of the first ten singular vectors, and the sizes along them.
+    q = np.linalg.qr(latent.project[:, :10].astype(float) / (np.log((total + 1) / (df + 1)) + 0.1)[:, None])[0]
+    assert np.linalg.norm(vt[:9] @ q, axis=1).min() > 0.97
+    z = latent.project[:, :10].astype(float)
+    unit = np.linalg.norm((full / (np.log((total + 1) / (df + 1)) + 0.1)) @ z, axis=0)
+    assert np.allclose(unit, 1, atol=0.02)
+
+
+def test_a_benchmark_of_many_parts(spark, monkeypatch):
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(4 + i % 20))) for i in range(90)]
+    rows = [(i, f"{word()} {items[i][1]} {word()} {items[(i + 1) % 90][1]}") for i in range(90)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((r.doc_id, r.item_id) for r in op.contaminated(docs, bench).collect())
+    assert {(i, i) for i in range(90)} <= {*want}
+    monkeypatch.setattr(op, "PART_BYTES", 2000)
+    monkeypatch.setattr(op, "ITEMS", 7)
+    assert len([*op.parts_of(bench)]) > 3
+    assert sorted((r.doc_id, r.item_id) for r in op.contaminated(docs, bench).collect()) == want
