@@ -3,12 +3,18 @@
 Every window of ``window`` words is represented by an anchor, the leftmost smallest hash among the
 ``gram``-word sequences in it, and by the hash of the words that all windows of this anchor cover (its
 context). Equal windows have equal anchors, so windows under an anchor that occurs once are not
-repeated, and those under equal contexts are. Only windows between the two cases are hashed one by one.
-
-The index holds a row for each anchor: its count, one context, and whether contexts differ. A batch
-becomes a run, a table bucketed and sorted by anchor that is never changed; runs merge-join without a
-shuffle, both to find what a batch repeats and to compact two runs into a new one. Candidates are
-verified by 96 bits of two hashes of the whole window.
+repeated, and those under equal contexts are. Only windows between the two cases, under an anchor with
+several contexts (a mixed one), are hashed one by one, and verified by 96 bits of two hashes of all words.
+
+The index has two logs of sorted immutable runs: of anchors (count, contexts, one place) and of the windows
+under mixed anchors (count, one place). ``FingerprintIndex.add`` takes a batch: its anchors, summed up
+before their shuffle, become a run, a table bucketed and sorted by hash, which is merge-joined without a
+shuffle with the older runs. That tells which windows of the batch are repeated, and which older place,
+seen once until now, is repeated by the batch. Beyond the batch, texts are read only of older documents
+with anchors that the batch turned mixed. When there are ``max_runs`` runs of a log they are compacted to one.
+An index is a folder: ``save`` leaves a manifest in it and ``FingerprintIndex(spark, path)`` opens it again; an
+index without a path is deleted by ``close``. Joins that lead back from hashes to places have a written table
+on one side and a plain shuffle on the other, so AQE splits a passage that very many texts share.
 
 Null and empty texts have no words. Rows that are equal in doc_id and text count as two documents, so
 their windows repeat each other. Other columns of the input are ignored.
@@ -17,6 +23,7 @@ their windows repeat each other. Other columns of the input are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -26,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textcore as tc
-from .shared import delete_path, fresh_path, shuffle_parts, prepare, written
+from .shared import delete_path, discard, fresh_path, prepare, shuffle_parts, written
 
 WINDOW = 35
 GRAM = 8
@@ -84,57 +91,144 @@ def fingerprints(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     return _keyed(docs).mapInArrow(run, "kd long, tk long, first int, n int, h long, c long")
 
 
+#: What a run holds for each key: in an anchor's row also its least and largest context.
+ANCHORS = ("anchors", ["h"], "h long, n long, lo long, hi long, kd long, tk long, first int, wide int")
+WINDOWS = ("windows", ["w1", "w2"], "w1 long, w2 int, n long, kd long, tk long, first int")
+
+
 class FingerprintIndex:
-    """Sorted immutable runs of anchors (h, n, c, mixed) in the shared folder."""
+    """Sorted immutable runs in a folder, which may be one of an older index."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, max_runs: int = 2):
-        self.spark, self.buckets, self.max_runs = spark, buckets or shuffle_parts(spark), max_runs
-        self.runs: list[tuple[str, str]] = []
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, max_runs: int = 2, window: int = WINDOW, gram: int = GRAM):
+        self.spark, self.kept, self.max_runs = spark, path is not None, max_runs
+        self.path = path or fresh_path(spark, "index")
+        self.about = {"buckets": buckets or shuffle_parts(spark), "window": window, "gram": gram, "runs": {"anchors": [], "windows": []}}
+        if path and self._manifest().exists():
+            self.about = json.loads(self._manifest().read())
+        self.names: list[str] = []
 
-    def _write(self, entries: DataFrame) -> None:
-        name, path = f"loomstat_run_{uuid.uuid4().hex}", fresh_path(self.spark, "run")
-        entries.write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
-        self.runs.append((name, path))
+    def _manifest(self):
+        return _File(self.spark, f"{self.path}/manifest.json")
 
-    def add(self, fp: DataFrame) -> None:
-        """Makes a run of a batch's fingerprints; compacts when there are too many runs."""
-        self._write(fp.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c"), (F.min("c") != F.max("c")).alias("mixed")).repartition(self.buckets, "h"))
-        if len(self.runs) >= self.max_runs:
-            self.compact()
+    def save(self) -> None:
+        self._manifest().write(json.dumps(self.about))
 
-    def _merged(self, left: DataFrame, right: DataFrame) -> DataFrame:
-        a, b = left.alias("a"), right.alias("b")
-        zero = lambda x: F.coalesce(F.col(x), F.lit(0))
-        no = lambda x: F.coalesce(F.col(x), F.lit(False))
-        return a.join(b.hint("merge"), "h", "full").select(
-            "h", (zero("a.n") + zero("b.n")).alias("n"), F.coalesce("a.c", "b.c").alias("c"),
-            (no("a.mixed") | no("b.mixed") | F.coalesce(F.col("a.c") != F.col("b.c"), F.lit(False))).alias("mixed"),
-        )
-
-    def entries(self) -> DataFrame:
-        """All runs as one table, by merge joins."""
+    def close(self) -> None:
+        """Forgets the tables of the session; deletes the folder if the index was given none."""
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self.names = []
+        if not self.kept:
+            delete_path(self.spark, self.path)
+
+    def _write(self, log: tuple, entries: DataFrame) -> DataFrame:
+        """A new run of a log."""
+        kind, keys, schema = log
+        name, at = f"loomstat_run_{uuid.uuid4().hex}", f"{kind}-{uuid.uuid4().hex}"
+        n = self.about["buckets"]
+        entries.repartition(n, keys[0]).write.bucketBy(n, keys[0]).sortBy(keys[0]).option("path", f"{self.path}/{at}").saveAsTable(name)
+        self.names.append(name)
+        self.about["runs"][kind].append(at)
+        return self.spark.table(name)
+
+    def _run(self, log: tuple, at: str) -> DataFrame:
+        kind, keys, schema = log
+        name = f"loomstat_run_{uuid.uuid4().hex}"
+        self.spark.sql(f"CREATE TABLE {name} ({schema.replace(' long', ' BIGINT')}) USING parquet CLUSTERED BY ({keys[0]}) SORTED BY ({keys[0]}) INTO {self.about['buckets']} BUCKETS LOCATION '{self.path}/{at}'")
+        self.names.append(name)
+        return self.spark.table(name)
+
+    def entries(self, log: tuple, runs: list[str] | None = None) -> DataFrame:
+        """Runs of a log as one table, by merge joins of buckets."""
         out = None
-        for name, _ in self.runs:
-            t = self.spark.table(name)
-            out = t if out is None else self._merged(out, t)
-        if out is None:
-            return self.spark.createDataFrame([], "h long, n long, c long, mixed boolean")
-        return out
+        for at in self.about["runs"][log[0]] if runs is None else runs:
+            t = self._run(log, at)
+            out = t if out is None else self._merged(log, out, t)
+        return self.spark.createDataFrame([], log[2]) if out is None else out
 
-    def compact(self) -> None:
-        """Merges all runs into a new one and deletes them."""
-        if len(self.runs) < 2:
+    def _merged(self, log: tuple, left: DataFrame, right: DataFrame) -> DataFrame:
+        kind, keys, schema = log
+        a, b = left.alias("a"), right.alias("b")
+        both = a.join(b.hint("merge"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], "full")
+        first = lambda c: F.coalesce(F.col(f"a.{c}"), F.col(f"b.{c}"))
+        how = {"n": F.coalesce("a.n", F.lit(0)) + F.coalesce("b.n", F.lit(0)), "lo": F.least("a.lo", "b.lo") if kind == "anchors" else None, "hi": F.greatest("a.hi", "b.hi") if kind == "anchors" else None}
+        return both.select(*((how[c] if c in how else first(c)).alias(c) for c in left.columns))
+
+    def compact(self, log: tuple) -> None:
+        """Merges the runs of a log into a new one and deletes them."""
+        old = list(self.about["runs"][log[0]])
+        if len(old) < 2:
             return
-        old, entries = self.runs, self.entries()
-        self.runs = []
-        self._write(entries)
-        for name, path in old:
-            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-            delete_path(self.spark, path)
+        entries = self.entries(log, old)
+        self.about["runs"][log[0]] = []
+        self._write(log, entries)
+        for at in old:
+            delete_path(self.spark, f"{self.path}/{at}")
+
+    def _grow(self, log: tuple, entries: DataFrame, more: list) -> DataFrame:
+        """Adds a run, and says of its keys that the index has now twice or more what older runs know of them."""
+        old = self.entries(log).select(*log[1], *(F.col(c).alias(f"old_{c}") for c in [x.split()[0] for x in log[2].split(", ")][len(log[1]) :]))
+        run = self._write(log, entries)
+        both = run.join(old.hint("merge"), log[1], "left").where("n + coalesce(old_n, 0) > 1")
+        return written(both.select(*log[1], *more), "status")
+
+    def add(self, batch: DataFrame, older: DataFrame | None = None) -> DataFrame:
+        """(kd, tk, first, n): windows, of the batch and of older documents, that the batch shows to be repeated.
+
+        older: documents (doc_id, text) of all batches before; only those are read whose anchors turn mixed.
+        """
+        window, gram = self.about["window"], self.about["gram"]
+        at = lambda *c: F.min(F.struct(*c)).alias("at")
+        sums = fingerprints(batch, window, gram).groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), at("kd", "tk", "first", F.col("n").alias("wide")))
+        mixed = F.least("lo", "old_lo") != F.greatest("hi", "old_hi")
+        turned = mixed & (F.coalesce("old_n", F.lit(0)) > 0) & F.coalesce(F.col("old_lo") == F.col("old_hi"), F.lit(False))
+        status = self._grow(ANCHORS, sums.select("h", "n", "lo", "hi", "at.*"), [mixed.alias("mixed"), turned.alias("turned"), *(f"old_{c}" for c in ("n", "kd", "tk", "first", "wide"))])
+        found = written(fingerprints(batch, window, gram).join(status.select("h", "mixed"), "h").select("kd", "tk", "first", "n", "mixed"), "found")
+        place = [F.col("old_kd").alias("kd"), F.col("old_tk").alias("tk"), F.col("old_first").alias("first"), F.col("old_wide").alias("n")]
+        sure = found.where("not mixed").drop("mixed").unionByName(status.where("not mixed AND old_n = 1").select(*place))
+
+        hashes = _windows(batch, found.where("mixed"), window)
+        again = status.where("turned AND old_n > 1").select("h")
+        before = status.where("turned AND old_n = 1").select(*place)
+        if older is not None and not status.where("turned").isEmpty():
+            if not again.isEmpty():
+                before = before.unionByName(fingerprints(older, window, gram).join(again, "h").select("kd", "tk", "first", "n"))
+            hashes = hashes.unionByName(_windows(older, written(before, "before"), window))
+        hashes = written(hashes, "windows")
+        sums = hashes.groupBy("w1", "w2").agg(F.count("*").alias("n"), at("kd", "tk", "first"))
+        seen = self._grow(WINDOWS, sums.select("w1", "w2", "n", "at.*"), [f"old_{c}" for c in ("n", "kd", "tk", "first")])
+        more = hashes.join(seen, ["w1", "w2"]).select("kd", "tk", "first").unionByName(seen.where("old_n = 1").select(*place[:3]))
+        out = written(sure.unionByName(more.withColumn("n", F.lit(1))), "repeated")
+        discard(status, found, hashes, seen)
+        for log in (ANCHORS, WINDOWS):
+            if len(self.about["runs"][log[0]]) >= self.max_runs:
+                self.compact(log)
+        return out
+
+
+class _File:
+    """A small file in any file system that Spark reaches."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.jvm, self.path = spark._jvm, spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.fs = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def repeated(self, fp: DataFrame) -> DataFrame:
-        """The fingerprints whose anchor the index has twice or more, with mixed."""
-        return fp.join(self.entries().where("n > 1").select("h", "mixed").hint("merge"), "h")
+    def exists(self) -> bool:
+        return self.fs.exists(self.path)
+
+    def read(self) -> str:
+        stream = self.fs.open(self.path)
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, text: str) -> None:
+        out = self.fs.create(self.path, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
 
 
 def _windows(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
@@ -164,17 +258,16 @@ def _windows(docs: DataFrame, found: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2) -> DataFrame:
-    """(kd, tk, first, n): the windows of docs whose words also start at another place."""
-    spark = docs.sparkSession
-    index = FingerprintIndex(spark)
-    for b in range(batches):
-        index.add(fingerprints(docs.where(F.pmod(F.xxhash64("text"), F.lit(batches)) == b), window, gram))
-    found = written(index.repeated(fingerprints(docs, window, gram)).select("kd", "tk", "first", "n", "mixed"), "found")
-    # distinct: rows equal in doc_id and text have given each window twice, and both count
-    singles = written(_windows(docs, found.where("mixed"), window), "windows")
-    again = singles.groupBy("w1", "w2").agg(F.count("*").alias("times")).where("times > 1").select("w1", "w2")
-    more = singles.join(again.hint("merge"), ["w1", "w2"]).select("kd", "tk", "first", F.lit(1).alias("n"))
-    return found.where("not mixed").select("kd", "tk", "first", "n").unionByName(more)
+    """(kd, tk, first, n): the windows of docs whose words also start at another place, by an index that takes docs in batches."""
+    index, out = FingerprintIndex(docs.sparkSession, window=window, gram=gram), None
+    try:
+        of = F.pmod(F.xxhash64("text"), F.lit(batches))
+        for b in range(batches):
+            found = index.add(docs.where(of == b), docs.where(of < b) if b else None)
+            out = found if out is None else out.unionByName(found)
+    finally:
+        index.close()
+    return out
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, batches: int = 2) -> DataFrame:
