@@ -1,11 +1,13 @@
 """Approximate nearest neighbours by learned partitions.
 
-On a hashed sample of about ``SAMPLE`` vectors the driver links each to its nearest neighbours, cuts that
-graph into parts of nearly equal size, about ``PART_SAMPLE`` of the sample in each (balanced means first, then moves along edges within the capacity),
-and trains a small network to tell which parts a vector's neighbours are in. The network puts every vector
-of the table in its most probable part, and sends a query to its most probable parts, as many as keep the
-recall on the sample above ``RECALL``. There all vectors are compared, in tiles of bounded size, so a part
-that is large, or one vector that is very common, is split over tasks and nothing is left out.
+On a hashed sample (one vector in ``ONE_IN``, at least about ``SAMPLE`` and at most about ``MOST_SAMPLE``) the driver links each to
+its nearest neighbours, cuts that graph into parts of nearly equal size, about ``PART_SAMPLE`` of the sample
+in each (balanced means first, then moves along edges within the capacity), and trains a small network to
+tell which parts a vector's neighbours are in. A fifth of the sample is held out of both: the network puts
+every vector of the table in its most probable part, and sends a query to its most probable parts, as many
+as keep the recall of the held-out vectors above ``RECALL``. There all vectors are compared, in tiles of
+bounded size, so a part that is large, or one vector that is very common, is split over tasks and nothing
+is left out.
 
 Nearness is the inner product in double precision; ties go to the smaller vec_id. Vectors that are null,
 zero, of another length than most, or hold null or non-finite components take no part, nor do null ids.
@@ -27,10 +29,13 @@ from .tiles import packs
 
 K = 20
 SAMPLE = 6000
+MOST_SAMPLE = 24_000
+ONE_IN = 200
 PART_SAMPLE = 200
 RECALL = 0.96
 LINKS = 12
-TILE_ROWS = 4096
+#: Queries, and vectors that they are compared with, of a tile; a query is sent once for each block of the latter.
+TILE_ROWS, BLOCK_ROWS = 4096, 16_384
 SEED = 23
 
 
@@ -119,14 +124,18 @@ def fit(sample: np.ndarray, parts: int, k: int = K, recall: float = RECALL) -> t
     """The router and the number of parts that a query has to see."""
     if parts < 2:
         return None, 1
-    near = _nearest(sample, min(LINKS, len(sample) - 1))
-    part = balanced_parts(sample, near, parts)
+    held = np.random.default_rng(SEED).permutation(len(sample)) < len(sample) // 5
+    own, asks = sample[~held], sample[held]
+    near = _nearest(own, min(LINKS, len(own) - 1))
+    part = balanced_parts(own, near, parts)
     target = 0.4 * np.eye(parts)[part] + 0.6 * np.eye(parts)[part[near]].mean(1)
-    router = Router(sample, target)
-    order = router.rank(sample)
-    place = np.argsort(order, axis=1)  # how early a query sees each part
-    true = _nearest(sample, min(k, len(sample) - 1))
-    seen_at = place[np.arange(len(sample))[:, None], order[true, 0]]
+    router = Router(own, target)
+    place = np.argsort(router.rank(asks), axis=1)  # how early a query sees each part
+    first = router.rank(sample)[:, 0]
+    sim = asks @ sample.T
+    sim[np.arange(len(asks)), np.flatnonzero(held)] = -np.inf
+    true = np.argpartition(-sim, min(k, len(sample) - 1) - 1, axis=1)[:, : min(k, len(sample) - 1)]
+    seen_at = place[np.arange(len(asks))[:, None], first[true]]
     for probes in range(1, parts + 1):
         if (seen_at < probes).mean() >= recall:
             return router, probes
@@ -151,9 +160,9 @@ def _top(q: np.ndarray, c: np.ndarray, q_id: np.ndarray, c_id: np.ndarray, k: in
     order = np.argsort(c_id, kind="stable")
     c, c_id = c[order], c_id[order]
     starts = np.flatnonzero(np.r_[True, c_id[1:] != c_id[:-1]]) if len(c) else np.zeros(0, np.int64)
-    for s in range(0, len(q), 512):
-        sim = q[s : s + 512] @ c.T
-        sim[q_id[s : s + 512, None] == c_id[None, :]] = -np.inf
+    for s in range(0, len(q), 256):
+        sim = q[s : s + 256] @ c.T
+        sim[q_id[s : s + 256, None] == c_id[None, :]] = -np.inf
         best = sim if len(starts) == len(c) else np.maximum.reduceat(sim, starts, axis=1)
         kth = np.partition(best, -min(k, len(starts)), axis=1)[:, -min(k, len(starts))] if len(c) else np.zeros(0)
         a, b = np.nonzero((sim >= (kth - 1e-9 * (1 + np.abs(kth)))[:, None]) & (sim > -np.inf))
@@ -169,7 +178,7 @@ def _top(q: np.ndarray, c: np.ndarray, q_id: np.ndarray, c_id: np.ndarray, k: in
     return tuple(np.concatenate(x) for x in (ids, others, scores))
 
 
-def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, part_sample: int = PART_SAMPLE, tile_rows: int = TILE_ROWS) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE, part_sample: int = PART_SAMPLE, tile_rows: int = TILE_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of each row that queries (a condition on id_col) picks."""
     spark = vectors.sparkSession
     prepare(spark)
@@ -179,6 +188,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_i
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     length, n = lengths["length"], lengths["count"]
     rows = rows.where(F.size("v") == length)
+    sample = max(sample, min(n // ONE_IN, MOST_SAMPLE))
     share = F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / n))
     fitted = rows.where(share).select("vec_id", "v").distinct().toArrow().sort_by("vec_id")
     router, probes = fit(_vectors(fitted.column("v").combine_chunks(), length), fitted.num_rows // part_sample, k)
@@ -198,11 +208,11 @@ def search(vectors: DataFrame, queries: Column, k: int = K, id_col: str = "vec_i
     index = written(rows.select("vec_id", "v").distinct().mapInArrow(route(1), schema), "index")
     asked = written(rows.where("asks").select("vec_id", "v").distinct().mapInArrow(route(probes), schema), "asked")
 
-    def blocks(t: DataFrame, name: str) -> DataFrame:
-        return t.groupBy("part").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias(name))
+    def blocks(t: DataFrame, name: str, of: int) -> DataFrame:
+        return t.groupBy("part").agg(F.ceil(F.count("*") / of).cast("int").alias(name))
 
-    # One row for each part: sample / part_sample at most.
-    shape = F.broadcast(blocks(index, "c_blocks").join(blocks(asked, "q_blocks"), "part"))
+    # One row for each part: MOST_SAMPLE / part_sample or sample / part_sample at most.
+    shape = F.broadcast(blocks(index, "c_blocks", block_rows).join(blocks(asked, "q_blocks", tile_rows), "part"))
     block = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = asked.join(shape, "part").select("part", each("c_blocks").alias("c"), block("q_blocks").alias("q"), F.lit(0).alias("side"), "vec_id", "v")

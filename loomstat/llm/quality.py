@@ -91,6 +91,21 @@ class Model:
         return np.round(1 / (1 + np.exp(-np.clip(self.logit(x), -30, 30))), 9)
 
 
+_sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[float, float]:
+    """prior * R_p(+1), and R_u(-1) - prior * R_p(-1), of the logits of positives and unlabelled."""
+    return float(prior * np.logaddexp(0, -zp).mean()), float(np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean())
+
+
+def risk_step(zp: np.ndarray, zu: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """By what the logits are moved: the gradient of the sum of both parts, or, where the second is below 0, of what undoes that."""
+    if risk(zp, zu, prior)[1] >= 0:
+        return prior * (_sigmoid(zp) - 1) / len(zp) - prior * _sigmoid(zp) / len(zp), _sigmoid(zu) / len(zu)
+    return prior * _sigmoid(zp) / len(zp), -_sigmoid(zu) / len(zu)
+
+
 def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, hidden: int = 24, epochs: int = 40, batch: int = 512, rate: float = 5e-3, seed: int = SEED) -> Model:
     """Non-negative risk with a prior; without one, positives against unlabelled."""
     rng = np.random.default_rng(seed)
@@ -99,7 +114,6 @@ def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, hidden: int =
     p, u = (np.clip((x - m.mean) / m.scale, -8, 8) for x in (pos, unl))
     params = [m.w1, m.b1, m.w2, m.b2]
     first, second, step = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params], 0
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     rounds = max(25, min(len(u), 30_000) // batch)
     for epoch in range(epochs):
         for _ in range(rounds):
@@ -107,18 +121,10 @@ def _train(pos: np.ndarray, unl: np.ndarray, prior: float | None, hidden: int =
             x = np.concatenate([xp, xu])
             h = np.tanh(x @ m.w1 + m.b1)
             z = h @ m.w2 + m.b2[0]
-            s = sigmoid(z)
-            g = np.zeros(2 * batch)
             if prior is None:
-                g[:batch], g[batch:] = s[:batch] - 1, s[batch:]
+                g = (_sigmoid(z) - np.repeat((1.0, 0.0), batch)) / batch
             else:
-                minus = np.logaddexp(0, z)
-                rest = minus[batch:].mean() - prior * minus[:batch].mean()
-                if rest >= 0:
-                    g[:batch], g[batch:] = prior * (s[:batch] - 1) - prior * s[:batch], s[batch:]
-                else:  # undo what has made the risk of the negatives less than nothing
-                    g[:batch], g[batch:] = prior * s[:batch], -s[batch:]
-            g /= batch
+                g = np.concatenate(risk_step(z[:batch], z[batch:], prior))
             dh = np.outer(g, m.w2) * (1 - h * h)
             grads = [x.T @ dh + 1e-5 * m.w1, dh.sum(0), h.T @ g + 1e-5 * m.w2, np.array([g.sum()])]
             step += 1

@@ -21,7 +21,7 @@ def test_recall_with_many_parts(spark):
     rng = np.random.default_rng(1)
     centre = rng.normal(0, 1, (12, 16))
     df, rows = make(spark, centre[rng.integers(0, 12, 3000)] + rng.normal(0, 0.5, (3000, 16)))
-    got = op.search(df, F.col("vec_id") % 20 == 0, part_sample=250, tile_rows=100).collect()
+    got = op.search(df, F.col("vec_id") % 20 == 0, part_sample=250, tile_rows=100, block_rows=100).collect()
     assert len(got) == 150 * 20
     assert recall(got, op.brute_force(rows, range(0, 3000, 20))) >= 0.9
     x = {i: np.array(v) for i, v in rows}
@@ -53,7 +53,7 @@ def test_one_vector_in_a_third_of_all_rows(spark):
     x = rng.normal(0, 1, (900, 8))
     x[::3] = x[0]
     df, rows = make(spark, x)
-    got = op.search(df, F.col("vec_id") % 20 == 0, part_sample=100, tile_rows=50).collect()
+    got = op.search(df, F.col("vec_id") % 20 == 0, part_sample=100, tile_rows=50, block_rows=50).collect()
     same = sorted((r.rank, r.vec_id) for r in got if r.query_id == 0)
     assert [i for _, i in same] == [3 * k for k in range(1, 21)]
 
@@ -85,7 +85,7 @@ def test_repeated_ids_leave_room_for_others(spark):
     both = np.array([v for _, v in rows] + [v for _, v in hot], np.float64)
     ids = np.array([i for i, _ in rows] + [7] * 300)
     for tile_rows in (4096, 40):
-        for q, got in found(many, tile_rows=tile_rows).items():
+        for q, got in found(many, tile_rows=tile_rows, block_rows=tile_rows).items():
             s = both @ both[q]
             near = {i: s[ids == i].max() for i in range(200) if i != q}
             assert got == sorted(near, key=lambda i: (-near[i], i))[:20]
