@@ -30,6 +30,8 @@ from ..tables import ship
 #: Bytes of packed labels that may go to every task.
 MOST_LABELS = 256 << 20
 BLOCK = 1024
+#: Connections worked on at a time.
+ROWS = 64
 
 
 def one_hot(perms: DataFrame, subjects: int) -> DataFrame:
@@ -102,29 +104,44 @@ def _gemm(values: DataFrame, keys: list[str], perms: DataFrame, subjects: int, t
                 continue
             vals = b.column(b.num_columns - 1)
             x = vals.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-            x = x.astype(np.int64 if whole else np.float64)
+            # Doubles hold whole statistics up to 2**53, and have a fast product.
+            small = not whole or float(np.abs(x).max(initial=0)) * max(1, subjects) ** 3 < 2**53
+            x = x.astype(np.float64 if small else np.int64)
             total = x.sum(1, keepdims=True)
-            count, seen, t = np.zeros(len(x), np.int64), None, None
+            count, seen, t = np.zeros(len(x), np.int64), np.zeros((len(x), 1), x.dtype), np.zeros(len(x))
             for s in range(0, n, BLOCK):
                 lab = np.unpackbits(packed.value[s : s + BLOCK], axis=1, count=subjects)
-                a = x @ lab.T.astype(x.dtype)
                 na = lab.sum(1).astype(np.int64)
                 nb = subjects - na
-                na, nb = np.maximum(na, 1), np.maximum(nb, 1)
-                stat = a * nb - (total - a) * na if same else a / na - (total - a) / nb
-                stat = np.abs(stat) if two_tailed else stat
-                if s == 0:
-                    seen, t = stat[:, :1], a[:, 0].astype(float) / na[0] - (total[:, 0] - a[:, 0]).astype(float) / nb[0]
-                with np.errstate(invalid="ignore"):
-                    hit = stat >= seen
-                count += hit[:, 1:].sum(1) if s == 0 else hit.sum(1)
+                na, nb = (np.maximum(v, 1).astype(x.dtype) for v in (na, nb))
+                lab = np.ascontiguousarray(lab.T.astype(x.dtype))
+                for r in range(0, len(x), ROWS):  # what is worked on stays in the cache
+                    a, all_ = x[r : r + ROWS] @ lab, total[r : r + ROWS]
+                    if s == 0:
+                        t[r : r + ROWS] = a[:, 0].astype(float) / na[0] - (all_[:, 0] - a[:, 0]).astype(float) / nb[0]
+                    rest = all_ - a
+                    if same:
+                        a *= nb
+                        rest *= na
+                    else:
+                        a, rest = a / na, rest / nb
+                    a -= rest
+                    if two_tailed:
+                        np.abs(a, out=a)
+                    if s == 0:
+                        if not same:
+                            seen = seen.astype(float)
+                        seen[r : r + ROWS] = a[:, :1]
+                    with np.errstate(invalid="ignore"):
+                        count[r : r + ROWS] += np.count_nonzero(a >= seen[r : r + ROWS], axis=1) - (s == 0) * (a[:, 0] >= seen[r : r + ROWS, 0])
             p = (count + 1) / float(n + 1)
             bad = np.isnan(x).any(1) if not whole else np.zeros(len(x), bool)
             if nan == "propagate":
                 p = pa.array(p, mask=bad)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], p if isinstance(p, pa.Array) else pa.array(p), pa.array(t)], [*keys, "pvalue", "tstat"])
 
-    table = aligned(values, keys)
+    # The work is connections by permutations, so the few bytes of the former must not be put together in few tasks.
+    table = aligned(values.repartition(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *keys), keys)
     kinds = dict(table.dtypes)
     return table.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "pvalue double", "tstat double"]))
 
