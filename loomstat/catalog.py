@@ -620,6 +620,111 @@ def triangle_round_trip(spark, sf):
     return spark.read.format("triangle").load(path).select("i", "j", F.round("value", 5).alias("r"))
 
 
+def _fresh(spark, name: str) -> str:
+    from .tables import fresh_path
+
+    return fresh_path(spark, name)
+
+
+@query(X.with_("points") + f"SELECT i, j, round(r::FLOAT::DOUBLE, 5) AS r FROM ({_CORR})")
+def triangle_parts(spark, sf):
+    """Written by tasks as a folder, read back as ranges."""
+    from .sources import triangle
+
+    s = X.signals(spark, sf)
+    path = _fresh(spark, "triangle")
+    triangle.write_parts(signals.correlate(s), path, s.count(), part=10_000)
+    triangle.register(spark)
+    return spark.read.format("triangle").option("rows", 30_000).load(path).select("i", "j", F.round("value", 5).alias("r"))
+
+
+@query(X.with_("points") + f"SELECT i, j, round(r, 6) AS r FROM ({_CORR})")
+def triangle_text(spark, sf):
+    from .sources import triangle
+
+    path = _fresh(spark, "text")
+    triangle.write_text(signals.correlate(X.signals(spark, sf)), path)
+    return triangle.read_text(spark, path).select("i", "j", _r6("value").alias("r"))
+
+
+@query(X.with_("points") + f"SELECT (i // 64)::INT AS bx, (j // 64)::INT AS by, count(*) AS n, round(sum(r), 4) AS total FROM ({_CORR}) GROUP BY ALL")
+def blocks_file(spark, sf):
+    from .sources import sinks
+
+    path = _fresh(spark, "blocks")
+    sinks.write_blocks(signals.correlate(X.signals(spark, sf)), path, 64)
+    return spark.read.parquet(path).groupBy("bx", "by").agg(F.count("*").alias("n"), F.round(F.sum("r"), 4).alias("total"))
+
+
+@query(X.with_("edges") + "SELECT i1, j1, k1, i2, j2, k2, printf('%.6f', pvalue)::DOUBLE AS pvalue, printf('%.6f', tstat)::DOUBLE AS tstat FROM edges WHERE pvalue < 0.05")
+def edges_csv(spark, sf):
+    from .sources import sinks, text
+
+    path = _fresh(spark, "edges")
+    sinks.write_edges(X.edges(spark, sf).where(C.below(F.col("pvalue"), 0.05)), path)
+    return text.read_edges(spark, path).drop("edge_id")
+
+
+@query(X.with_("perms") + "SELECT perm, array_to_string(list(subj ORDER BY subj), ',') AS a FROM perms WHERE in_a GROUP BY perm")
+def permutations_file(spark, sf):
+    from .sources import text
+
+    path = _fresh(spark, "perms")
+    text.write_permutations(X.permutations(spark), path)
+    return text.read_permutations(spark, path, X.SUBJECTS).select("perm", F.array_join(F.col("a").cast("array<string>"), ",").alias("a"))
+
+
+@query(X.with_("coords") + "SELECT vox, i, j, k FROM coords")
+def coordinates_file(spark, sf):
+    from .sources import text
+
+    path = _fresh(spark, "coords")
+    X.coords(spark, sf).repartitionByRange(1, "vox").sortWithinPartitions("vox").select(F.concat_ws(" ", "i", "j", "k", "x").alias("value")).write.text(path)
+    return text.read_coordinates(spark, path)
+
+
+def _image(spark, name: str) -> str:
+    """The cube as an image file whose values are scaled by 0.25 and 128."""
+    from .functions import header
+    from .sources import image
+
+    folder = _fresh(spark, "image")
+    fs, p = image.file_system(folder)
+    fs.create_dir(p)
+    voxels = X.cube(spark).select("i", "j", "k", "t", C.scaled(F.col("raw"), 0.25, 128).alias("value"))
+    image.write_image(voxels, header.new_header(spark, [23, 17, 11, 7], 8, scl_slope=0.25, scl_inter=128.0, descrip="cube"), f"{folder}/{name}")
+    image.register(spark)
+    return f"{folder}/{name}"
+
+
+@query(X.with_("cube") + "SELECT i, j, k, t, raw * 0.25::DOUBLE + 128 AS value FROM cube")
+def image_file(spark, sf):
+    return spark.read.format("image_volumes").load(_image(spark, "cube.nii.gz")).drop("path")
+
+
+@query(X.with_("cube") + "SELECT i, j, k, t, raw::DOUBLE AS value FROM cube")
+def image_pair_raw(spark, sf):
+    return spark.read.format("image_volumes").option("raw", "true").load(_image(spark, "cube.hdr")).drop("path")
+
+
+@query(X.with_("cube") + "SELECT i, j, k, t, raw * 0.25::DOUBLE + 128 AS value FROM cube WHERE t BETWEEN 2 AND 4 AND k IN (1, 2) AND i < 3")
+def image_file_part(spark, sf):
+    return spark.read.format("image_volumes").options(t="2..4", k="1..2", i="0..2").load(_image(spark, "cube.nii")).drop("path")
+
+
+@query(X.with_("cube") + "SELECT i, j, k, t, raw * 0.25::DOUBLE + 128 AS value FROM cube")
+def image_ascii(spark, sf):
+    return spark.read.format("image_volumes").load(_image(spark, "cube.nia")).drop("path")
+
+
+@query("SELECT 4 AS ndim, '23 17 11 7' AS dim, 8 AS datatype, 0.25::DOUBLE AS scl_slope, 128.0::DOUBLE AS scl_inter, 'cube' AS descrip")
+def image_header(spark, sf):
+    from .sources import image
+
+    h = image.headers(spark, _image(spark, "cube.nii"))
+    return h.select("ndim", F.array_join(F.slice("dim", 1, 4).cast("array<string>"), " ").alias("dim"), "datatype", "scl_slope", "scl_inter", "descrip")
+
+
 @query(X.with_("conn", more={"stat": "SELECT event_type, h, sum(value) AS total FROM conn GROUP BY ALL"}) + "SELECT event_type, h, total::BIGINT AS total FROM stat")
 def resume_parts(spark, sf):
     from .sources import sinks

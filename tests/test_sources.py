@@ -119,6 +119,15 @@ def test_triangles(spark, tmp_path):
     part = spark.read.format("triangle").option("first", 123).option("last", 130).load(path).orderBy("k").collect()
     assert [r.k for r in part] == list(range(123, 130)) and np.allclose([r.value for r in part], v[123:130])
     assert triangle.sniff(path) == triangle.Head("correlation", 40, 780)
+    folder = str(tmp_path / "parts")
+    triangle.write_parts(pairs.repartition(5), folder, 40, "result", part=77)
+    assert triangle.sniff(folder) == triangle.Head("result", 40, 780, 77)
+    assert triangle.read(spark, folder, "result").select("i", "j", F.col("value").alias("r")).exceptAll(pairs).count() == 0
+    part = spark.read.format("triangle").option("first", 70).option("last", 400).load(folder).orderBy("k").collect()
+    assert [r.k for r in part] == list(range(70, 400)) and np.allclose([r.value for r in part], v[70:400])
+    for bad in (pairs.where("i > 0"), pairs.union(pairs.limit(1))):
+        with pytest.raises(ValueError, match="pairs"):
+            triangle.write_parts(bad, str(tmp_path / f"bad{bad.count()}"), 40)
     with pytest.raises(ValueError, match="not a result"):
         triangle.read(spark, path, "result")
     with pytest.raises(ValueError, match="pairs"):
