@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions import distributions as D
-from .operators import cluster, permute, signals, significance, spatial
+from .operators import cluster, permute, signals, significance, spatial, view
 from .plans import fixtures as X
 from .plans import pipeline
 from .tables import written
@@ -472,6 +472,32 @@ def select_labels(spark, sf):
     return spatial.select_labels(spatial.bundle_cc(_iso(spark, sf)), chosen).select("edge_id", "bundle")
 
 
+def _labelled(spark, sf):
+    """Bundles of three edges or more, in five networks by number."""
+    return _large(spark, sf).withColumn("network", F.col("bundle") % 5)
+
+
+@query(X.with_("large") + "SELECT (bundle % 5)::INT AS network, bundle, count(*) AS n FROM large GROUP BY ALL")
+def tree_model(spark, sf):
+    return view.tree_model(_labelled(spark, sf))
+
+
+_CHOSEN = "SELECT DISTINCT (bundle % 5)::INT AS network, CASE WHEN bundle % 5 = 3 AND bundle > 10 THEN NULL ELSE bundle END AS bundle FROM large WHERE bundle % 7 < 2"
+
+
+@query(X.with_("large", more={"chosen": _CHOSEN}) + "SELECT network, CASE WHEN count(*) > count(bundle) THEN 'All' ELSE array_to_string(list(bundle ORDER BY bundle), ', ') END AS bundles FROM chosen GROUP BY network")
+def selection_summary(spark, sf):
+    chosen = _labelled(spark, sf).where("bundle % 7 < 2").selectExpr("network", "if(bundle % 5 = 3 AND bundle > 10, NULL, bundle) AS bundle").distinct()
+    return view.selection_summary(chosen)
+
+
+@query(X.with_("large") + "SELECT DISTINCT (bundle % 5)::INT AS network, bundle, CASE WHEN bundle % 4 = 0 THEN 'own ' || bundle WHEN bundle % 5 < 2 THEN 'net ' || (bundle % 5) ELSE 'palette ' || (bundle % 39) END AS colour FROM large")
+def colours(spark, sf):
+    e = _labelled(spark, sf)
+    own = e.where("bundle % 4 = 0").selectExpr("network", "bundle", "concat('own ', bundle) AS colour")
+    return view.colours(e, own, e.where("network < 2").selectExpr("network", "concat('net ', network) AS colour"))
+
+
 # Distributions -------------------------------------------------------------------------------------------
 
 
@@ -589,6 +615,20 @@ def row_series(spark, sf):
     return series(collapsed(X.cube(spark), {"j": 4, "k": 2}), "raw").select("i", "j", "k", F.array_join(F.col("ts").cast("array<string>"), ",").alias("ts"))
 
 
+@query(X.with_("cube") + "SELECT i, j, k, array_to_string(list(raw ORDER BY t), ',') AS ts FROM cube WHERE k = 4 GROUP BY ALL")
+def slice_series(spark, sf):
+    from .sources.image import collapsed, series
+
+    return series(collapsed(X.cube(spark), {"k": 4}), "raw").select("i", "j", "k", F.array_join(F.col("ts").cast("array<string>"), ",").alias("ts"))
+
+
+@query(X.with_("cube") + "SELECT i, j, k, array_to_string(list(raw ORDER BY t), ',') AS ts FROM cube WHERE i = 19 AND j = 3 AND k = 5 GROUP BY ALL")
+def time_series(spark, sf):
+    from .sources.image import collapsed, series
+
+    return series(collapsed(X.cube(spark), {"i": 19, "j": 3, "k": 5}), "raw").select("i", "j", "k", F.array_join(F.col("ts").cast("array<string>"), ",").alias("ts"))
+
+
 @query("SELECT * FROM (VALUES ('descrip', 'a', 'b'), ('qoffset_x', '0.0', '-17.325'), ('slice_start', '0', '1')) t(field, \"left\", \"right\")")
 def header_diff(spark, sf):
     from .functions import header

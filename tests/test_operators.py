@@ -287,7 +287,9 @@ def test_clusters_and_pipelines(spark):
     assert 1 < k.select("bundle").distinct().count() <= 20 and k.count() == 300
     near_k = cluster.hc1(e, "complete", 20, max_exact=100)
     assert near_k.count() == 300 and near_k.select("bundle").distinct().count() <= 20
-    r = pipeline.process_v2(e)
+    told = []
+    r = pipeline.process_v2(e, progress=lambda name, percent: told.append((name, percent)))
+    assert [n for n, _ in told] == ["isolation", "bundles", "prune", "size", "clusters", "size_again", "networks"] and told[-1][1] == 100 and sorted(p for _, p in told) == [p for _, p in told]
     assert r.edges.count() < 300 and r.edges.select("network").distinct().count() <= 5 and r.tree.count() == r.edges.select("bundle").distinct().count() - 1
     two = cluster.recut(r.edges, r.tree, 2)
     assert two.select("network").distinct().count() == 2
