@@ -40,3 +40,16 @@ def test_empty_table_and_clashing_columns(spark):
 
 def test_runs_for():
     assert op.runs_for(0.8) >= 4 and op.runs_for(1.0) == 1
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """400 pairs of 100 sequences each, 89 of them in common: a similarity of 0.802."""
+    rnd = random.Random(12)
+    words = lambda n: [f"{rnd.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(400):
+        w = words(104)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:93] + words(11)))]
+    out = op.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    found = sum(r.n_links == 1 and r.class_id == r.doc_id // 2 * 2 for r in out)
+    assert found >= 0.995 * len(rows)
