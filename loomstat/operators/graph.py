@@ -49,22 +49,27 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60, local:
     return own.join(roots, own["node"] == roots["u"], "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def forest(cur: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(u, root) for every node but the smallest of each component of a written table of edges (u, v), u <> v, which is deleted.
+def _with_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """rows (u, v) with m of least (u, m).
 
-    A round takes every node to the smallest it knows. The smallest ones are summed up before their shuffle and written, so that
-    the join that brings them back has a plain shuffle on both sides, where AQE splits a node of very many edges, or none at all.
+    The join is on a struct, so that least, which is summed up by u, is shuffled again for it: where one side of a join is an
+    aggregate over its own shuffle, AQE cannot split a key, and a node of very many edges would land in one task.
     """
+    return rows.join(least.select(F.struct("u").alias("key"), "m"), F.struct(rows["u"]) == F.col("key")).select("u", "v", "m")
+
+
+def forest(cur: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(u, root) for every node but the smallest of each component of a written table of edges (u, v), u <> v, which is deleted."""
     seen = None
     for _ in range(max_rounds):
         near = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
+        least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
         # v > u >= m, so that edges point down.
-        down = written(near.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = written(down.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        down = _with_least(near.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = down.groupBy("u").agg(F.min("v").alias("m"))
+        small = _with_least(down, low).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old, cur = cur, written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(old, least, down, low)
+        discard(old)
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen:
             return cur.select("u", F.col("v").alias("root"))

@@ -332,3 +332,20 @@ def test_percentiles_of_ties(spark):
     df = spark.createDataFrame([(v,) for v in rows], "pvalue double").repartition(5)
     v = sorted(x for x in rows if x is not None and x == x)
     assert [(r.decile, r.value) for r in significance.deciles(df).orderBy("decile").collect()] == [(i, v[min(int(len(v) * (i / 10)), len(v) - 1)]) for i in range(11)]
+
+
+def test_a_node_of_very_many_edges_is_split(spark):
+    from loomstat.operators.graph import _with_least
+
+    names = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(60000).selectExpr("if(id % 3 = 0, -7, id) AS u", "id + 100000 AS v").repartition(8)
+        out = _with_least(rows, rows.groupBy("u").agg(F.min("v").alias("m")))
+        assert out.groupBy((F.col("u") == -7).alias("hot")).count().orderBy("hot").collect() == [(False, 40000), (True, 20000)]
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k in names:
+            spark.conf.unset(k)
