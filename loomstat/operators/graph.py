@@ -2,34 +2,52 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import discard, plain_unions, written
 
+#: Edges that the driver may hold: some 16 MB of numbers, or 50 MB of places.
+LOCAL = 1_000_000
 
-#: Edges that the driver may hold.
-LOCAL = 100_000
+
+def _numbers(col: pa.ChunkedArray) -> np.ndarray | None:
+    """A column of numbers, or of structs of numbers, as rows of numbers; None for other types."""
+    fields = [col] if not pa.types.is_struct(col.type) else col.combine_chunks().flatten()
+    if not all(pa.types.is_integer(f.type) or pa.types.is_floating(f.type) for f in fields):
+        return None
+    return np.stack([f.to_numpy(zero_copy_only=False) if isinstance(f, pa.Array) else f.to_numpy() for f in fields], 1)
 
 
 def _local(edges: DataFrame) -> DataFrame:
-    """(u, root) of a small table of edges (u, v), by union-find."""
-    parent: dict = {}
-
-    def find(x):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    for u, v in edges.collect():
-        for x in (u, v):
-            parent.setdefault(x, x)
-        a, b = find(u), find(v)
-        if a != b:
-            parent[max(a, b)] = min(a, b)
-    kind = edges.schema["u"].dataType.simpleString()
-    return edges.sparkSession.createDataFrame([(x, find(x)) for x in parent], f"u {kind}, root {kind}")
+    """(u, root) of a small table of edges (u, v); nodes are numbered in their order, and each takes the least number that it meets."""
+    t = edges.toArrow()
+    n = t.num_rows
+    both = pa.chunked_array(t.column("u").chunks + t.column("v").chunks, t.column("u").type)
+    rows = _numbers(both) if n else None
+    if rows is not None:
+        _, first, number = np.unique(rows, axis=0, return_index=True, return_inverse=True)
+        number = number.reshape(-1)
+    else:
+        values = [tuple(v.values()) if isinstance(v, dict) else v for v in both.to_pylist()]
+        keys = sorted({v: k for k, v in reversed([*enumerate(values)])}.items())
+        at = {v: k for k, (v, _) in enumerate(keys)}
+        first, number = np.array([k for _, k in keys], np.int64), np.array([at[v] for v in values], np.int64)
+    a, b, label = number[:n], number[n:], np.arange(len(first))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for x in (a, b, label[a], label[b]):  # the root of an end as well, so that trees are joined and not only their leaves
+            np.minimum.at(new, x, low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    out = pa.table({"u": both.take(pa.array(first)), "root": both.take(pa.array(first[label]))})
+    return edges.sparkSession.createDataFrame(out, edges.select("u", F.col("v").alias("root")).schema) if n else edges.select("u", F.col("v").alias("root"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60, local: int = LOCAL) -> DataFrame:

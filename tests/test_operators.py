@@ -349,3 +349,19 @@ def test_a_node_of_very_many_edges_is_split(spark):
     finally:
         for k in names:
             spark.conf.unset(k)
+
+
+def test_components_on_the_driver_of_any_type(spark):
+    rnd = random.Random(6)
+    pairs = [(rnd.randrange(500), rnd.randrange(500)) for _ in range(300)] + [(1000 + i, 1001 + i) for i in range(200)]
+    e = spark.createDataFrame(pairs, "a long, b long")
+    nodes = sorted({x for p in pairs for x in p})
+    want = {k: min(g) for g in groups(pairs, nodes) for k in g}
+    kinds = {"long": lambda c: F.col(c), "string": lambda c: F.lpad(F.col(c).cast("string"), 5, "0"), "struct": lambda c: F.struct(F.col(c).cast("int").alias("i"), (F.col(c) % 3).cast("double").alias("j")), "words": lambda c: F.struct(F.lpad(F.col(c).cast("string"), 5, "0").alias("w"))}
+    n = spark.createDataFrame([(x,) for x in nodes], "a long")
+    for name, key in kinds.items():
+        own = n.select(F.col("a").alias("id"), key("a").alias("node"))
+        for local in (0, 10**6):
+            got = graph.components(own.select("node"), e.select(key("a").alias("a"), key("b").alias("b")), local=local)
+            back = {r.id: r.r for r in got.join(own, "node").select("id", F.col("root").alias("rt")).join(own.select(F.col("id").alias("r"), F.col("node").alias("rt")), "rt").collect()}
+            assert back == want, (name, local)
