@@ -146,6 +146,16 @@ def test_triangles(spark, tmp_path):
     assert both.groupBy("subj").count().orderBy("subj").collect() == [(0, 780), (1, 780)]
 
 
+def test_text_of_many_files(spark, tmp_path):
+    v = np.random.default_rng(5).uniform(-1, 1, 40 * 39 // 2).round(6)
+    ends = [3, 10, 200, 260, 780]  # the largest file is neither the first nor the second
+    for f, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        (tmp_path / f"part-{f:05d}.txt").write_text("".join(f"{x:.6f}\n" for x in v[a:b]))
+    got = triangle.read_text(spark, str(tmp_path)).orderBy("k").toPandas()
+    assert list(got.k) == list(range(780)) and list(got.value) == list(v)
+    assert [(r.i, r.j) for r in got.itertuples()] == [(i, j) for i in range(40) for j in range(i + 1, 40)]
+
+
 def test_text_tables(spark, tmp_path):
     perms = spark.createDataFrame([(0, [0, 1, 2]), (1, [1, 2, 11])], "perm int, a array<int>")
     text.write_permutations(perms, str(tmp_path / "perms"))
