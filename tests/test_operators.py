@@ -365,3 +365,41 @@ def test_components_on_the_driver_of_any_type(spark):
             got = graph.components(own.select("node"), e.select(key("a").alias("a"), key("b").alias("b")), local=local)
             back = {r.id: r.r for r in got.join(own, "node").select("id", F.col("root").alias("rt")).join(own.select(F.col("id").alias("r"), F.col("node").alias("rt")), "rt").collect()}
             assert back == want, (name, local)
+
+
+def test_neighbours_over_borders_of_blocks_in_few_rows(spark, monkeypatch):
+    # Pairs of edges that touch over a face, an edge or a corner of a block, at both signs, and lone ones.
+    rows, keep = [], set()
+    for n, (a, b) in enumerate([((15, 5, 5), (16, 5, 5)), ((-1, -1, 5), (0, 0, 5)), ((31, 31, 31), (32, 32, 32)), ((-17, 0, -16), (-16, -1, -17)), ((40, 40, 40), (42, 40, 40))]):
+        rows += [(2 * n, *a, 5000 + 9 * n, 0, 0), (2 * n + 1, *b, 6000 + 9 * n, 0, 0)]
+        keep |= {2 * n, 2 * n + 1} if n < 4 else set()
+    many = [(100 + e, 1000 + 5 * (e % 50), 5 * (e // 50 % 50), 5 * (e // 2500), 3000 + 5 * (e % 50), 5 * (e // 50 % 50), 5 * (e // 2500)) for e in range(20_000)]
+    df = frame(spark, [*rows, *many, (50, None, 1, 1, None, 1, 1)])
+    assert {r.edge_id for r in spatial.filter_isolated(df).collect()} == keep
+    ends = spatial.endpoints(df)
+    dealt, real = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **b: dealt.append(self.count()) or real(self, *a, **b))
+    spatial.filter_isolated(df)
+    assert len(dealt) == 1 and dealt[0] < 2 * 40_020  # not 27 for each voxel
+    monkeypatch.undo()
+    label = df.withColumn("network", F.when(F.col("edge_id") != 3, F.col("edge_id").cast("int") // 4))
+    assert {r.edge_id for r in spatial.prune_isolated(label).collect()} == set()
+    touch = spatial._adjacent(ends.dropna().select("i", "j", "k").distinct(), 1.0, [])
+    assert touch.count() == 4
+
+
+def test_the_driver_joins_no_more_edges_than_it_may(spark, monkeypatch):
+    seen, real = [], graph._local
+
+    def counted(edges):
+        seen.append(edges.count())
+        return real(edges)
+
+    monkeypatch.setattr(graph, "_local", counted)
+    monkeypatch.setattr(graph, "PIECE", 20_000, raising=False)
+    # 30 chains of 5,001 nodes in mixed order.
+    e = spark.range(150_000).selectExpr("(id div 5000) * 10000 + id * 7919 % 5000 AS a").selectExpr("a", "a + 1 AS b").repartition(7)
+    n = e.selectExpr("a AS node").union(e.selectExpr("b")).distinct()
+    out = graph.components(n, e)
+    assert out.groupBy("root").count().orderBy("root").collect() == [(k * 10000, 5001) for k in range(30)]
+    assert seen and max(seen) <= 100_000
