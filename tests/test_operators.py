@@ -382,7 +382,7 @@ def test_neighbours_over_borders_of_blocks_in_few_rows(spark, monkeypatch):
     spatial.filter_isolated(df)
     assert len(dealt) == 1 and dealt[0] < 2 * 40_020  # not 27 for each voxel
     monkeypatch.undo()
-    label = df.withColumn("network", F.when(F.col("edge_id") != 3, F.col("edge_id").cast("int") // 4))
+    label = df.withColumn("network", F.when(F.col("edge_id") != 3, F.expr("cast(edge_id div 4 AS int)")))
     assert {r.edge_id for r in spatial.prune_isolated(label).collect()} == set()
     touch = spatial._adjacent(ends.dropna().select("i", "j", "k").distinct(), 1.0, [])
     assert touch.count() == 4
@@ -403,3 +403,22 @@ def test_the_driver_joins_no_more_edges_than_it_may(spark, monkeypatch):
     out = graph.components(n, e)
     assert out.groupBy("root").count().orderBy("root").collect() == [(k * 10000, 5001) for k in range(30)]
     assert seen and max(seen) <= 100_000
+
+
+def test_maxmin_pairs_edges_of_a_bundle_alone(spark, monkeypatch):
+    rows = random_edges(300, 8, 30)
+    df = frame(spark, rows).withColumn("bundle", F.expr("cast(if(edge_id < 40, 7, 100 + edge_id div 2) AS int)"))
+    at = {}
+    for r in rows:
+        at.setdefault(7 if r[0] < 40 else 100 + r[0] // 2, []).append((np.array(r[1:4]), np.array(r[4:7])))
+    at = {k: v for k, v in at.items() if k != 120} | {120: at[120][:1]}
+    df = df.where("edge_id <> 41")
+    gap = lambda a, b: min(float(np.linalg.norm(x - y)) for x, y in zip(a, b, strict=True))
+    want = {k: max(gap(a, b) for a in v for b in v) for k, v in at.items()}
+    nearest = {k: max(min(gap(a, b) for b in v if b is not a) for a in v) for k, v in at.items() if len(v) > 1}
+    dealt, real = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, *a, **b: dealt.append(self.count()) or real(self, *a, **b))
+    for form, right in (("pairs", want), ("edges", nearest)):
+        got = {r.bundle: r.maxmin for r in cluster.maxmin(df, form=form, block=11).collect()}
+        assert got.keys() == right.keys() and all(abs(got[k] - right[k]) < 1e-9 for k in got)
+    assert dealt == [40 * 4 + 258] * 2  # the large bundle in 4 blocks; no edge meets those of other bundles
