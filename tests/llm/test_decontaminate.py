@@ -161,3 +161,19 @@ def test_a_benchmark_of_many_parts(spark, monkeypatch):
     monkeypatch.setattr(op, "ITEMS", 7)
     assert len([*op.parts_of(bench)]) > 3
     assert sorted((r.doc_id, r.item_id) for r in op.contaminated(docs, bench).collect()) == want
+
+
+def test_columns_of_blocks_equal_unique():
+    import numpy as np
+
+    from loomstat.llm import decontaminate as D
+
+    rng = np.random.default_rng(3)
+    for first, step in ((0, 1), (5, 1), (1 << 40, 1), (7, 1 << 13)):  # the last does not fit into 32 bits
+        of_word = first + step * np.sort(rng.integers(0, 60, 3000))
+        words = rng.integers(0, 2**63, 3000).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 3000).astype(np.uint64)
+        words[::3] = words[0]
+        key = np.unique(of_word * D.COLUMNS + (words % np.uint64(D.COLUMNS)).astype(np.int64))
+        block, column = D._present(words, of_word)
+        assert (block == key // D.COLUMNS).all() and (column == key % D.COLUMNS).all()
+    assert not len(D._present(words[:0], of_word[:0])[0])
