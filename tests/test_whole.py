@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomstat import catalog
-from loomstat.operators import cluster
+from loomstat.operators import cluster, spatial
 from loomstat.operators.linkage import cut_height, cut_tree, linkage
 from loomstat.plans import fixtures as X
 
@@ -70,3 +70,20 @@ def test_bundles_of_one_place_make_the_same_tree(spark, monkeypatch):
     first = {}
     single = [first.setdefault(g, b) for b, g in enumerate(cut_height(linkage(d, "single"), 6.0).tolist())]
     assert [r.root for r in cluster.single_cut(e, 6.0).orderBy("bundle").collect()] == single
+
+
+@pytest.mark.parametrize("digits", [None, 9])
+def test_more_centroids_than_go_to_a_task_at_once(spark, monkeypatch, digits):
+    rng = np.random.default_rng(8)
+    x, at = rng.integers(0, 40, (700, 6)).astype(float), rng.integers(0, 40, (900, 6)) / 3
+    x[:20], at[450:470] = at[:20], at[:20]  # ties
+    cols = "i1 double, j1 double, k1 double, i2 double, j2 double, k2 double"
+    edges = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)] + [(700, None, 1.0, 1.0, 1.0, 1.0, 1.0)], f"edge_id long, {cols}")
+    centres = spark.createDataFrame([(i + 5, *map(float, r)) for i, r in enumerate(at)] + [(1, None, 1.0, 1.0, 1.0, 1.0, 1.0)], f"bundle int, {cols}")
+    d = ((x[:, None] - at[None]) ** 2).sum(2)
+    want = (d if digits is None else d.round(digits)).argmin(1) + 5
+    for most in (500_000, 200):
+        monkeypatch.setattr(spatial, "CENTRES", most)
+        got = {r.edge_id: r.bundle for r in spatial.nearest_centroid(edges, centres, "bundle", digits).collect()}
+        assert [got[i] for i in range(700)] == want.tolist() and got[700] == 5 and len(got) == 701
+    assert spatial.nearest_centroid(edges, centres.limit(0), "bundle").count() == 0
