@@ -87,3 +87,18 @@ def test_more_centroids_than_go_to_a_task_at_once(spark, monkeypatch, digits):
         got = {r.edge_id: r.bundle for r in spatial.nearest_centroid(edges, centres, "bundle", digits).collect()}
         assert [got[i] for i in range(700)] == want.tolist() and got[700] == 5 and len(got) == 701
     assert spatial.nearest_centroid(edges, centres.limit(0), "bundle").count() == 0
+
+
+def test_pairs_of_whole_bundles_are_not_shuffled(spark):
+    rng = np.random.default_rng(9)
+    size = np.r_[90, 31, rng.integers(1, 6, 60)]
+    label, p = np.repeat(np.arange(len(size)), size), rng.integers(0, 50, (size.sum(), 6)).astype(float)
+    e = spark.createDataFrame([(i, int(k), *map(float, x)) for i, (k, x) in enumerate(zip(label, p, strict=True))], "edge_id long, bundle int, i1 double, j1 double, k1 double, i2 double, j2 double, k2 double")
+    d = np.minimum(*(np.sqrt(((p[:, None, h] - p[None, :, h]) ** 2).sum(2)) for h in (slice(0, 3), slice(3, 6))))
+    want = {(a, b): d[label == a][:, label == b].min() for a in range(len(size)) for b in range(a + 1, len(size))}
+    for block in (20, 1000):  # the first two bundles are cut, or none
+        rows = cluster.bundle_distances(e, block=block).collect()
+        assert len(rows) == len(want) and {(r.a, r.b): r.dist for r in rows} == want
+    plan = cluster.bundle_distances(e, block=1000)._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan
+    assert cluster.bundle_distances(e.limit(0)).count() == 0
