@@ -102,3 +102,43 @@ def test_pairs_of_whole_bundles_are_not_shuffled(spark):
     plan = cluster.bundle_distances(e, block=1000)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan
     assert cluster.bundle_distances(e.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("flag", ["single", "complete", "average"])
+def test_a_tree_of_more_members_than_the_driver_holds(spark, monkeypatch, flag):
+    rng = np.random.default_rng(11)
+    size = np.r_[40, rng.integers(1, 4, 150)]
+    of, weight = np.repeat(np.arange(151), size), rng.integers(1, 4, 151).astype(float)
+    p = rng.normal(0, 1, (len(of), 6)) + rng.normal(0, 30, (151, 6))[of]
+    rows = spark.createDataFrame([(int(k), *map(float, x)) for k, x in zip(of, p, strict=True)], "member int, i1 double, j1 double, k1 double, i2 double, j2 double, k2 double")
+    ends = [np.sqrt(((p[:, None, h] - p[None, :, h]) ** 2).sum(2)) for h in (slice(0, 3), slice(3, 6))]
+    for least, n in ((True, 151), (False, len(of))):
+        d = (np.minimum if least else np.maximum)(*ends)
+        if least:
+            d, r, w = np.array([[d[of == a][:, of == b].min() for b in range(n)] for a in range(n)]), rows, weight
+        else:
+            r, w = rows.withColumn("member", F.monotonically_increasing_id()).orderBy("member"), np.ones(n)
+            r = spark.createDataFrame([(k, *x[1:]) for k, x in enumerate(r.collect())], rows.schema)
+        want = linkage(d, flag, w)
+        monkeypatch.setattr(cluster, "HELD", 60)
+        got = cluster.grown_tree(r, n, flag, w, least, block=80)
+        assert np.allclose(got[:, 2:], want[:, 2:]) and (got[:, :2] == want[:, :2]).all()
+
+
+def test_equal_distances_merge_many_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "HELD", 60)
+    squares, calls = [], cluster._on_tiles
+    monkeypatch.setattr(cluster, "_on_tiles", lambda *a: squares.append(1) or calls(*a))
+    rows = spark.range(300).selectExpr("cast(id AS int) AS member", "id AS i1", "0 AS j1", "0 AS k1", "id AS i2", "0 AS j2", "0 AS k2")
+    z = cluster.grown_tree(rows, 300, "complete", block=100)
+    assert len(z) == 299 and z[-1, 2] == 299 and z[-1, 3] == 300 and (np.diff(z[:, 2]) >= 0).all() and len(squares) < 20
+
+
+def test_the_driver_holds_no_larger_matrix(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "HELD", 50)
+    held, square = [], cluster._square
+    monkeypatch.setattr(cluster, "_square", lambda pairs, names: held.append(len(names)) or square(pairs, names))
+    e = spark.range(600).selectExpr("id AS edge_id", "cast(id div 2 AS int) AS bundle", "id div 2 % 3 * 1000 + id div 10 AS i1", "id % 2 AS j1", "id AS k1", "id div 2 % 3 * 1000 + id div 10 AS i2", "1 AS j2", "2 AS k2")
+    assert cluster.hc2(e, "average", 3)[0].groupBy("network").agg(F.countDistinct(F.col("bundle") % 3).alias("a"), F.count("*").alias("n")).where("a = 1 AND n = 200").count() == 3
+    assert cluster.hc1(e, "complete", 3).select("bundle").distinct().count() == 3
+    assert len(held) == 2 and max(held) <= 50
