@@ -142,3 +142,15 @@ def test_the_driver_holds_no_larger_matrix(spark, monkeypatch):
     assert cluster.hc2(e, "average", 3)[0].groupBy("network").agg(F.countDistinct(F.col("bundle") % 3).alias("a"), F.count("*").alias("n")).where("a = 1 AND n = 200").count() == 3
     assert cluster.hc1(e, "complete", 3).select("bundle").distinct().count() == 3
     assert len(held) == 2 and max(held) <= 50
+
+
+def test_leaves_of_large_bundles_find_the_least_distance():
+    rng = np.random.default_rng(13)
+    of = np.repeat([3, 5, 9, 12], [600, 500, 700, 400])
+    p = rng.integers(0, 60, (len(of), 6)) / 7 + of[:, None] * np.array([9, 0, 0, 4, 4, 0])
+    p[::50, 1] = np.nan
+    left, right = np.flatnonzero(of < 9), np.flatnonzero(of >= 5)
+    assert len(left) * len(right) > 16 * cluster.LEAF_ROWS**2 * 6
+    own, names, got = cluster._minima(p, of, left, right)
+    d = np.fmin(*(np.sqrt(((p[:, None, h] - p[None, :, h]) ** 2).sum(2)) for h in (slice(0, 3), slice(3, 6))))
+    assert (got == np.array([[np.nanmin(d[of == a][:, of == b]) for b in names] for a in own])).all()
