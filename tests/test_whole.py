@@ -161,3 +161,18 @@ def test_signals_are_dealt_to_few_tiles():
     for n, most in ((51_282, 0.5e9), (102_564, 1.5e9)):
         assert n * signals.blocks(n, signals.block_size(n)) * 64 * 8 < most
     assert signals.block_size(10) == 512 and signals.block_size(10**6) == 4096
+
+
+def test_rounds_of_a_large_tree_broadcast_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    x, n = rng.integers(0, 50, (500, 6)) / 3 + rng.normal(0, 1e-3, (500, 6)), 500
+    rows = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "member int, i1 double, j1 double, k1 double, i2 double, j2 double, k2 double")
+    monkeypatch.setattr(cluster, "HELD", 60)
+    asked = []
+    monkeypatch.setattr(cluster.F, "broadcast", lambda df: asked.append(1) or df)
+    got = cluster.grown_tree(rows, n, "complete", least=False, block=40)
+    d = np.maximum(*(np.sqrt(((x[:, None, h] - x[None, :, h]) ** 2).sum(2)) for h in (slice(0, 3), slice(3, 6))))
+    assert np.allclose(got[:, 2], linkage(d, "complete")[:, 2])
+    for k in (2, 30, 200):
+        assert cut_tree(got, k).tolist() == cut_tree(linkage(d, "complete"), k).tolist()
+    assert not asked
