@@ -163,6 +163,17 @@ def test_signals_are_dealt_to_few_tiles():
     assert signals.block_size(10) == 512 and signals.block_size(10**6) == 4096
 
 
+def joins(df):
+    """Joins in a plan: each one, with its shuffles, is planned and reported again after every stage of the query."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+@pytest.mark.parametrize("bundles", [spatial.bundle_cc, spatial.bundle_strict])
+def test_labels_of_bundles_are_read_and_not_made_again(spark, sf, bundles):
+    e = catalog.written(X.edges(spark, sf))
+    assert joins(bundles(e)) == 1
+
+
 def test_rounds_of_a_large_tree_broadcast_nothing(spark, monkeypatch):
     rng = np.random.default_rng(21)
     x, n = rng.integers(0, 50, (500, 6)) / 3 + rng.normal(0, 1e-3, (500, 6)), 500
