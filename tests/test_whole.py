@@ -174,6 +174,11 @@ def test_labels_of_bundles_are_read_and_not_made_again(spark, sf, bundles):
     assert joins(bundles(e)) == 1
 
 
+def test_kept_edges_are_read_and_not_found_again(spark, sf):
+    e = catalog.written(spatial.bundle_cc(X.edges(spark, sf)))
+    assert joins(spatial.drop_small(e, 3)) <= 2  # the new labels, and where the ranges begin
+
+
 def test_rounds_of_a_large_tree_broadcast_nothing(spark, monkeypatch):
     rng = np.random.default_rng(21)
     x, n = rng.integers(0, 50, (500, 6)) / 3 + rng.normal(0, 1e-3, (500, 6)), 500
