@@ -174,9 +174,10 @@ def test_labels_of_bundles_are_read_and_not_made_again(spark, sf, bundles):
     assert joins(bundles(e)) == 1
 
 
-def test_kept_edges_are_read_and_not_found_again(spark, sf):
+@pytest.mark.parametrize("fewer", [spatial.drop_small, spatial.prune_small_clusters])
+def test_kept_edges_are_read_and_not_found_again(spark, sf, fewer):
     e = catalog.written(spatial.bundle_cc(X.edges(spark, sf)))
-    assert joins(spatial.drop_small(e, 3)) <= 2  # the new labels, and where the ranges begin
+    assert joins(fewer(e, 3)) <= 2  # the new labels, and where the ranges begin
 
 
 def test_rounds_of_a_large_tree_broadcast_nothing(spark, monkeypatch):
