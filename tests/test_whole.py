@@ -193,3 +193,17 @@ def test_rounds_of_a_large_tree_broadcast_nothing(spark, monkeypatch):
     for k in (2, 30, 200):
         assert cut_tree(got, k).tolist() == cut_tree(linkage(d, "complete"), k).tolist()
     assert not asked
+
+
+def test_pairs_of_edges_come_from_few_copies(spark):
+    e = X.lines(spark, "/root/testdata/sf0.001")
+    n = e.count()
+    blocks = -(-n // max(30, -(-n // 16)))
+    pairs = spatial.tile_pairs(e, "edge_id", 30)
+    shuffled = pairs.selectExpr("a.__x AS x", "a.__y AS y", "a.edge_id AS a", "b.edge_id AS b")
+    assert shuffled.count() == n * (n - 1) // 2 == shuffled.select("a", "b").distinct().count()
+    # Blocks of a 16th: a row is on the left of the tiles from its block on, on the right of those up to it.
+    assert shuffled.select("x", "y").distinct().count() == blocks * (blocks + 1) // 2
+    assert shuffled.where("a >= b OR x > y").count() == 0
+    sides = shuffled.groupBy("a").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    assert sides.where("lo <> hi").count() == 0
