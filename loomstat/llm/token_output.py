@@ -132,7 +132,7 @@ class Encoder:
         odd = np.full(len(texts), not self.by_piece)
         for x in self.added:
             odd |= pc.match_substring(texts.fill_null(""), x).to_numpy(zero_copy_only=False)
-        for i, j, buf, off in tc.chunks(texts, 1 << 21):
+        for i, j, buf, off in tc.chunks(texts):
             if self.count > REMEMBERED:
                 self._clear()
             ids, n = self._chunk(buf, off, odd[i:j], end_id)
