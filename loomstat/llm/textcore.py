@@ -39,7 +39,8 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i for i below n at least."""
     have = _pow.get(base)
     if have is None or len(have[0]) < n:
-        n = 1 << max(CHUNK.bit_length(), int(n).bit_length())
+        # What a chunk takes; for a longer text, twice as many as there were at least.
+        n = max(CHUNK + 1, n) if have is None else max(n, 2 * len(have[0]))
         with np.errstate(over="ignore"):
             out = []
             for b in (base, pow(base, -1, 2**64)):

@@ -37,7 +37,8 @@ STRIPE_BYTES = 16 << 20
 COLUMNS = "doc_id long, part int, start_in_part long, n_tokens long, ids array<int>"
 #: Pieces remembered by a worker; beyond that it starts anew, which costs time and changes nothing.
 REMEMBERED = 1_500_000
-TABLE = 1 << 22
+#: Slots of a worker's hash table at first; it doubles before three eighths of it are full.
+TABLE = 1 << 16
 #: Pieces that the library gets in one call.
 AT_ONCE = 500
 
@@ -78,15 +79,39 @@ class Encoder:
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         """Entry of each hash, -1 if there is none."""
-        out, slot, todo = np.full(len(h), -1, np.int64), (h % np.uint64(TABLE)).astype(np.int64), np.arange(len(h))
+        size = len(self.keys)
+        out, slot, todo = np.full(len(h), -1, np.int64), (h % np.uint64(size)).astype(np.int64), np.arange(len(h))
         while len(todo):
             key = self.keys[slot[todo]]
             hit = key == h[todo]
             out[todo[hit]] = self.entry[slot[todo[hit]]]
             todo = todo[~hit & (key != 0)]
-            slot[todo] = (slot[todo] + 1) % TABLE
+            slot[todo] = (slot[todo] + 1) % size
         return out
 
+    def _insert(self, h: np.ndarray, entry: np.ndarray) -> None:
+        """Gives distinct new hashes their entries."""
+        size = len(self.keys)
+        slot, todo = (h % np.uint64(size)).astype(np.int64), np.arange(len(h))
+        while len(todo):
+            free = todo[self.keys[slot[todo]] == 0]
+            self.keys[slot[free]] = h[free]
+            mine = free[self.keys[slot[free]] == h[free]]  # of several for a slot, the last has it
+            self.entry[slot[mine]] = entry[mine]
+            todo = np.setdiff1d(todo, mine, assume_unique=True)
+            slot[todo] = (slot[todo] + 1) % size
+
+    def _room(self, count: int) -> None:
+        """A table in which so many entries take three eighths of the slots at most."""
+        size = len(self.keys)
+        while 8 * count > 3 * size:
+            size *= 2
+        if size > len(self.keys):
+            full = np.flatnonzero(self.keys)
+            h, entry = self.keys[full], self.entry[full]
+            self.keys, self.entry = np.zeros(size, np.uint64), np.zeros(size, np.int32)
+            self._insert(h, entry)
+
     def _put(self, ids: list[np.ndarray]) -> np.ndarray:
         """Copies ids behind the pool, without keeping them; where each begins."""
         n = np.array([len(x) for x in ids], np.int64)
@@ -116,14 +141,8 @@ class Encoder:
             self.at, self.n = (np.concatenate([x[: self.count], np.zeros(2 * end - self.count, np.int64)]) for x in (self.at, self.n))
         new = np.arange(self.count, end)
         self.at[new], self.n[new], self.count = at, n, end
-        slot, todo = (h % np.uint64(TABLE)).astype(np.int64), np.arange(len(h))
-        while len(todo):
-            free = todo[self.keys[slot[todo]] == 0]
-            self.keys[slot[free]] = h[free]
-            mine = free[self.keys[slot[free]] == h[free]]  # of several for a slot, the last has it
-            self.entry[slot[mine]] = new[mine]
-            todo = np.setdiff1d(todo, mine, assume_unique=True)
-            slot[todo] = (slot[todo] + 1) % TABLE
+        self._room(end)
+        self._insert(h, new)
         return new
 
     def __call__(self, texts: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -209,6 +228,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
             values = pa.array(ids.view(np.int32))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(start + off[:-1]), pa.array(np.diff(off)), pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), values)], ["doc_id", "part", "start_in_part", "n_tokens", "ids"])
             start += int(off[-1])
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", F.xxhash64("text"))
     rows = rows.repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id", "k").sortWithinPartitions("doc_id", "k", "text")
@@ -237,6 +257,7 @@ def digest(tokens: DataFrame) -> DataFrame:
             off = np.r_[0, np.cumsum(n)] * 4
             crc = [zlib.crc32(data[s:e]) for s, e in zip(off[:-1], off[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+        pa.default_memory_pool().release_unused()
 
     return tokens.select("doc_id", "start", "ids").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 

@@ -4,6 +4,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from loomstat.llm import textcore as tc
 from loomstat.llm import token_output as op
 from loomstat.llm.shared import fresh_path
 
@@ -52,3 +53,20 @@ def test_files_have_bloom_filters_and_prune(spark):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,77)" in spark.read.orc(path).where("doc_id = 77")._jdf.queryExecution().executedPlan().toString()
     for p in Path(path.removeprefix("file:")).glob("*.orc"):
         assert orc.ORCFile(p).schema.names == ["doc_id", "part", "start_in_part", "n_tokens", "ids"]
+
+
+def test_a_worker_holds_a_table_for_what_it_has_seen(monkeypatch):
+    monkeypatch.setattr(op, "TABLE", 16)
+    with open(op.default_path(), encoding="utf-8") as f:
+        e = op.Encoder(f.read())
+    texts = [" ".join(f"w{k}x{j}" for j in range(300)) for k in range(8)] * 2
+    ids, off = e(pa.array(texts))
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:], strict=True)] == [e.whole(t).tolist() for t in texts]
+    assert e.count == 8 * 299 and 8 * e.count <= 3 * len(e.keys) < 16 * e.count and (e.keys != 0).sum() == e.count
+
+
+def test_powers_take_what_a_chunk_needs():
+    tc._pow.clear()
+    assert len(tc.powers(tc.BASES[0], 10)[0]) == tc.CHUNK + 1
+    p, q = tc.powers(tc.BASES[0], tc.CHUNK + 2)
+    assert len(p) == len(q) >= tc.CHUNK + 2 and all(int(p[i]) * int(q[i]) % 2**64 == 1 for i in (0, 1, tc.CHUNK + 1))
