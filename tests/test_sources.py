@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from loomstat import catalog
 from loomstat.functions import geometry as G
 from loomstat.functions import header as H
 from loomstat.operators import signals
@@ -225,3 +226,20 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     q = histogram.late_windows(histogram.parts_stream(spark, str(tmp_path / "ev"), events.schema), "ts", "1 minute", "5 minutes", "kind").writeStream.format("memory").queryName("w").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted((r.kind, r.n) for r in spark.table("w").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_a_folder_of_parts_is_written_from_runs(spark, sf, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    ts = [[1.0] * 9 if v == 7 else rng.normal(size=9).tolist() for v in range(40)]
+    s = spark.createDataFrame(list(enumerate(ts)), "vox long, ts array<double>").repartition(3)
+    runs = signals.correlation_runs(s, block=16)
+    assert runs.count() <= 3 * 40
+    triangle.write_runs(runs, str(tmp_path / "runs"), 40, part=77)
+    triangle.write_parts(signals.correlate(s, block=16), str(tmp_path / "pairs"), 40, part=77)
+    rows = [triangle.read(spark, str(tmp_path / x)).orderBy("k").collect() for x in ("runs", "pairs")]
+    assert rows[0] == rows[1] and len(rows[0]) == 780
+    for bad in (s.where("vox != 5"), s.union(s.where("vox = 5"))):
+        with pytest.raises(ValueError):
+            triangle.write_runs(signals.correlation_runs(bad, 40, block=16), str(tmp_path / f"bad{bad.count()}"), 40)
+    monkeypatch.setattr(triangle, "_positions", None)  # a row for each pair
+    assert catalog.queries()["triangle_parts"](spark, sf).count() == 499 * 250
