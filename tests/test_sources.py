@@ -243,3 +243,16 @@ def test_a_folder_of_parts_is_written_from_runs(spark, sf, tmp_path, monkeypatch
             triangle.write_runs(signals.correlation_runs(bad, 40, block=16), str(tmp_path / f"bad{bad.count()}"), 40)
     monkeypatch.setattr(triangle, "_positions", None)  # a row for each pair
     assert catalog.queries()["triangle_parts"](spark, sf).count() == 499 * 250
+
+
+def test_blocks_are_written_from_runs(spark, sf, tmp_path, monkeypatch):
+    rng = np.random.default_rng(6)
+    s = spark.createDataFrame([(v, [1.0] * 9 if v == 7 else rng.normal(size=9).tolist()) for v in range(40) if v != 12], "vox long, ts array<double>").repartition(3)
+    sinks.write_block_runs(signals.correlation_runs(s, block=15, step=8), str(tmp_path / "runs"), 8)
+    sinks.write_blocks(signals.correlate(s, block=15), str(tmp_path / "pairs"), 8)
+    key = lambda r: (r.bx, r.by, r.i, r.j)
+    rows = [sorted(spark.read.parquet(str(tmp_path / x)).select("bx", "by", "i", "j", "r").collect(), key=key) for x in ("runs", "pairs")]
+    assert [key(r) for r in rows[0]] == [key(r) for r in rows[1]] and len(rows[0]) == 39 * 38 // 2
+    assert np.allclose([r.r for r in rows[0]], [r.r for r in rows[1]], rtol=0, atol=1e-14)
+    monkeypatch.setattr(signals, "correlate", None)  # a row for each pair
+    assert catalog.queries()["blocks_file"](spark, sf).count() == 36
