@@ -54,3 +54,9 @@ def test_an_end_keeps_the_points_that_are_farthest_from_any_place():
             assert np.allclose(d[:, of == c].max(1), d[:, rows[of[rows] == c]].max(1), rtol=1e-12)
     p = np.stack(np.meshgrid(*[np.arange(9.0)] * 3), -1).reshape(-1, 3)
     assert len(complete._outer(np.zeros(729, int), p)) == 8
+
+
+def test_the_first_pipeline_clusters_all_places(spark):
+    far, e = far_one(spark)
+    got = pipeline.process_v1(e, bundles=2, networks=2).edges
+    assert got.groupBy("bundle", "network").count().orderBy("bundle").collect() == [(0, 0, 59_999), (1, 1, 1)] and got.where("bundle = 1").first().edge_id == far
