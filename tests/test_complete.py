@@ -60,3 +60,11 @@ def test_the_first_pipeline_clusters_all_places(spark):
     far, e = far_one(spark)
     got = pipeline.process_v1(e, bundles=2, networks=2).edges
     assert got.groupBy("bundle", "network").count().orderBy("bundle").collect() == [(0, 0, 59_999), (1, 1, 1)] and got.where("bundle = 1").first().edge_id == far
+
+
+def test_copies_of_edges_for_the_tiles_of_bundles_are_small():
+    rng = np.random.default_rng(4)
+    x = np.stack([np.sort(rng.integers(0, 400, 20_000)), *rng.integers(0, 40, (6, 20_000))]).astype(float)
+    assert (cluster._unpack(cluster._pack(x)) == x).all() and len(cluster._pack(x)) < 12 * 20_000
+    for other in (x + 0.5, np.where(x == 3, np.nan, x), x * 1e9, x[:, :1], -x):
+        assert np.array_equal(cluster._unpack(cluster._pack(other)), other, equal_nan=True)
