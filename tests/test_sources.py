@@ -256,3 +256,13 @@ def test_blocks_are_written_from_runs(spark, sf, tmp_path, monkeypatch):
     assert np.allclose([r.r for r in rows[0]], [r.r for r in rows[1]], rtol=0, atol=1e-14)
     monkeypatch.setattr(signals, "correlate", None)  # a row for each pair
     assert catalog.queries()["blocks_file"](spark, sf).count() == 36
+
+
+def test_text_of_runs_is_that_of_pairs(spark, tmp_path):
+    from loomstat.plans import fixtures
+
+    s = fixtures.signals(spark, "/root/testdata/sf0.001").where("vox < 90")
+    triangle.write_text(signals.correlate(s), f"{tmp_path}/pairs")
+    triangle.write_text_runs(signals.correlation_runs(s, block=20, step=1 << 40), f"{tmp_path}/runs")
+    one, two = ([r.value for p in sorted((tmp_path / d).glob("part-*")) for r in spark.read.text(str(p)).collect()] for d in ("pairs", "runs"))
+    assert one == two and len(one) == 89
